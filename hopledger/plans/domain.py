@@ -18,11 +18,12 @@ from hopledger.operators.catalog import build_catalog, latest_per_identity, pars
 from hopledger.operators.declare import (
     DECLARED_CONFIDENCE, app_hash, connection_hash, customer_hash, business_service_hash, path_hash, service_hash,
 )
+from hopledger.operators.enrich import EnrichConfig, lookup_alerts
 from hopledger.operators.health import PathHealth
 from hopledger.operators.history import revisions
 from hopledger.operators.mapping import live_mapping
 from hopledger.operators.series import Grid
-from hopledger.operators.topology import Topology
+from hopledger.operators.topology import Topology, exposure
 from hopledger.session import checkpoint_folder
 from hopledger.sources.samples import address_inventory
 from hopledger.sources.sinks import read_version, write_version
@@ -374,3 +375,13 @@ def event_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("starts_at"),
         F.when(F.col("event_id") % 2 == 1, "2001-01-01T00:00:00Z").otherwise("2030-01-01T00:00:00Z").alias("ends_at"),
     )
+
+
+def looked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts with their interface."""
+    now = F.timestamp_seconds(F.lit(NOW_S))
+    return lookup_alerts(topology(spark, sf_dir), alerts(spark, sf_dir), now, EnrichConfig())
+
+
+def exposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "exposure", lambda: exposure(topology(spark, sf_dir)))

@@ -8,7 +8,7 @@ from hopledger.plans.domain import DAY, EVENTS_FROM, EVENTS_TO, HARVESTED, NOW_S
 from hopledger.plans.registry import fragment
 
 RANGE_S = 7 * DAY
-LOOKBACK_S = 2 * DAY
+RANGE_US, LOOKBACK_US = 7 * DAY * 1000000, 2 * DAY * 1000000
 
 
 def token(x: str) -> str:
@@ -293,7 +293,7 @@ fragment("ticks", f"SELECT t_s, t_s * 1000000 AS t FROM range({EVENTS_FROM}, {EV
 fragment("instants", f"""
 SELECT s.metric, s.instance, s.if_index, s.if_name, s.iface, s.alertname, s.alertstate, t.t, t.t_s,
        arg_max(s.value, s.us) AS value, max(s.us) AS sample_us
-FROM ticks t JOIN samples s ON s.us <= t.t AND s.us > t.t - {LOOKBACK_S} * 1000000
+FROM ticks t JOIN samples s ON s.us <= t.t AND s.us > t.t - {LOOKBACK_US}
 GROUP BY ALL
 """, "ticks", "samples")
 
@@ -303,14 +303,14 @@ SELECT metric, instance, if_index, if_name, iface, t, t_s,
                         CASE WHEN inc > 0 AND v1 >= 0 THEN i * v1 / inc END)
                 + CASE WHEN e0 >= 1.1 * gap THEN gap / 2 ELSE e0 END) / i / {RANGE_S} AS value
 FROM (SELECT *, (last_us - first_us) / 1000000.0 AS i, (last_us - first_us) / 1000000.0 / (n - 1) AS gap,
-             (first_us - (t - {RANGE_S} * 1000000)) / 1000000.0 AS s0, (t - last_us) / 1000000.0 AS e0,
+             (first_us - (t - {RANGE_US})) / 1000000.0 AS s0, (t - last_us) / 1000000.0 AS e0,
              v2 - v1 + drops AS inc
       FROM (SELECT metric, instance, if_index, if_name, iface, t, t_s, count(*) AS n,
                    min(us) AS first_us, max(us) AS last_us, arg_min(value, us) AS v1, arg_max(value, us) AS v2,
                    coalesce(sum(CASE WHEN value < prev THEN prev END), 0) AS drops
             FROM (SELECT s.*, t.t, t.t_s,
                          lag(s.value) OVER (PARTITION BY s.metric, s.iface, s.if_name, t.t ORDER BY s.us) AS prev
-                  FROM ticks t JOIN samples s ON s.us <= t.t AND s.us > t.t - {RANGE_S} * 1000000
+                  FROM ticks t JOIN samples s ON s.us <= t.t AND s.us > t.t - {RANGE_US}
                   WHERE s.metric NOT IN ('ALERTS', 'ifHighSpeed', 'ifOperStatus'))
             GROUP BY ALL) WHERE n >= 2)
 """, "ticks", "samples")
