@@ -16,7 +16,7 @@ from hopledger.plans.domain_sql import address, canonical, entity, host, rank, t
 from hopledger.plans.registry import query
 from hopledger.schemas import DECL_READ
 from hopledger.sources.alerts import parse_alerts, render_alerts
-from hopledger.sources.declarations import _parse_batches
+from hopledger.sources.declarations import parse_texts, declarations_from_json
 from hopledger.sources.samples import address_inventory, app_seed, attach_targets
 from hopledger.sources.sinks import exposition_lines, stamp_tenant
 
@@ -85,8 +85,8 @@ SELECT file, app, runs_as, owner, criticality, dep_count, customer_count, NULL::
 def _(spark, sf_dir):
     """Each declaration as text through the file parser: JSON text is also YAML."""
     body = F.to_json(F.struct(*[f for f in DECL_READ.names if f not in ("file", "parse_error")]))
-    texts = d.declarations(spark, sf_dir).select("file", body.alias("value"))
-    read = texts.mapInPandas(_parse_batches, DECL_READ)
+    texts = d.declarations(spark, sf_dir).select("file", body.alias("value")).repartition("file")
+    read = parse_texts(texts)
     size = lambda c: F.size(F.coalesce(c, F.array())).cast("bigint")
     return read.select("file", "app", "runs_as", "owner", "criticality", size("depends_on").alias("dep_count"),
                        size("consumed_by_customers").alias("customer_count"), "parse_error")
@@ -99,6 +99,20 @@ def _bodies(spark, sf_dir):
     return d.alerts(spark, sf_dir).select(F.concat(F.lit("["), F.to_json(alert), F.lit("]")).alias("value"))
 
 
+@query("declarations_from_json", "S6", """
+SELECT file, CASE WHEN part % 5 <> 0 THEN app END AS app, CASE WHEN part % 5 <> 0 THEN dep_count ELSE 0 END AS dep_count,
+       CASE WHEN part % 5 = 0 THEN 'unknown key runz_as' END AS parse_error FROM doc
+""", "doc")
+def _(spark, sf_dir):
+    """Each declaration as JSON text, every fifth part with a misspelt key."""
+    fields = [f for f in DECL_READ.names if f not in ("file", "parse_error")]
+    part = F.split_part("file", F.lit("-"), F.lit(4)).cast("bigint")
+    typo = F.when(part % 5 == 0, F.lit("x")).alias("runz_as")
+    rows = d.declarations(spark, sf_dir).select("file", F.to_json(F.struct(*fields, typo)).alias("value"))
+    return declarations_from_json(rows).select(
+        "file", "app", F.size(F.coalesce("depends_on", F.array())).cast("bigint").alias("dep_count"), "parse_error")
+
+
 @query("parse_alerts", "S9", f"""
 SELECT alert_id, CASE kind WHEN 0 THEN device WHEN 1 THEN device WHEN 3 THEN device END AS instance,
        CASE kind WHEN 0 THEN CAST(if_index AS VARCHAR) WHEN 3 THEN 'x7' END AS if_index,
