@@ -6,7 +6,7 @@ import importlib
 
 from hopledger.plans.registry import QUERIES, Query
 
-MODULES = ["source_queries", "catalog_queries", "history_queries", "series_queries", "enrich_queries"]
+MODULES = ["source_queries", "catalog_queries", "history_queries", "series_queries", "enrich_queries", "stream_queries"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -24,6 +24,7 @@ from hopledger.operators.history import revisions
 from hopledger.operators.mapping import live_mapping
 from hopledger.operators.series import Grid
 from hopledger.operators.topology import Topology, exposure
+from hopledger.plans.registry import TIE
 from hopledger.session import checkpoint_folder
 from hopledger.sources.samples import address_inventory
 from hopledger.sources.sinks import read_version, write_version
@@ -306,10 +307,15 @@ def mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a scrape of one interface; a filter on ``metric`` leaves only its own branch."""
+    return scraped(table(spark, sf_dir, "events"))
+
+
+def scraped(events: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Samples of the named metrics, all of them by default, from a table or a stream of events."""
     n, ln = F.col("user_id"), F.col("event_id") % 3 + 1
     into_week = F.pmod(epoch_seconds(F.col("ts")) - EVENTS_FROM, F.lit(WEEK))
     unit = lambda size: F.floor(F.col("w") / size)
-    base = table(spark, sf_dir, "events").select(
+    base = events.select(
         F.col("ts").cast("timestamp").alias("ts"), F.concat(address(n), F.lit(":9116")).alias("instance"),
         ln.alias("if_index"), short_name(n, ln).alias("if_name"), n.alias("n"), "event_id", "event_type",
         F.col("value").alias("v"), into_week.alias("w"),
@@ -332,6 +338,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("event_id") % 5 == 0, "pending").otherwise("firing")
     out = None
     for metric, (value, where) in metrics.items():
+        if only and metric not in only:
+            continue
         alert = metric == "ALERTS"
         part = (base if where is None else base.filter(where)).select(
             F.lit(metric).alias("metric"), "ts", value.cast("double").alias("value"),
@@ -348,7 +356,11 @@ def health(spark: SparkSession, sf_dir: str, keys: list[str] | None = None) -> P
 
 def seconds(series: DataFrame, digits: int = 6) -> DataFrame:
     """Ticks in seconds and rounded values, as the checks compare them."""
-    return series.withColumn("t_s", F.expr("t div 1000000")).withColumn("value", F.round("value", digits)).drop("t")
+    return series.withColumn("t_s", F.expr("t div 1000000")).withColumn("value", rounded(F.col("value"), digits)).drop("t")
+
+
+def rounded(value: Column, digits: int = 6) -> Column:
+    return F.round(value * TIE, digits)
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ def _metric(spark, sf_dir, name):
 
 
 @query("instant_vector", "V1 V2", f"""
-SELECT {KEYS_SQL}, t_s, sample_us, round(value, 6) AS value FROM instants WHERE metric = 'ifHCInOctets'
+SELECT {KEYS_SQL}, t_s, sample_us, round(value * TIE, 6) AS value FROM instants WHERE metric = 'ifHCInOctets'
 """, "instants")
 def _(spark, sf_dir):
     rows = s.select_labels(d.samples(spark, sf_dir), metric="ifHCInOctets")
@@ -41,7 +41,7 @@ def _(spark, sf_dir):
 
 
 @query("counter_rate", "V4", f"""
-SELECT metric, {KEYS_SQL}, t_s, round(value, 6) AS value FROM rates
+SELECT metric, {KEYS_SQL}, t_s, round(value * TIE, 6) AS value FROM rates
 """, "rates")
 def _(spark, sf_dir):
     counters = d.samples(spark, sf_dir).filter(~F.col("metric").isin("ALERTS", "ifHighSpeed", "ifOperStatus"))
@@ -63,7 +63,7 @@ def _(spark, sf_dir):
 
 
 @query("fan_out", "V8 V8k", f"""
-SELECT {LABELS}, m.direction, x.t_s, round(x.value, 6) AS value FROM instants x
+SELECT {LABELS}, m.direction, x.t_s, round(x.value * TIE, 6) AS value FROM instants x
 JOIN mapping m ON m.iface = x.iface WHERE x.metric = 'ifHCInOctets'
 """, "instants mapping")
 def _(spark, sf_dir):
@@ -88,7 +88,7 @@ MAP_LABELS = "app, service, device, if_name, instance, if_index, iface, directio
 
 
 @query("ratio", "V9", f"""
-SELECT {MAP_LABELS}, t_s, round(e.value / c.value, 9) AS value FROM if_egress_octets_rate e
+SELECT {MAP_LABELS}, t_s, round(e.value / c.value * TIE, 9) AS value FROM if_egress_octets_rate e
 JOIN if_capacity_bps c USING ({MAP_LABELS}, t_s) WHERE c.value <> 0
 """, "if_egress_octets_rate if_capacity_bps")
 def _(spark, sf_dir):
@@ -98,7 +98,7 @@ def _(spark, sf_dir):
 
 
 @query("rollup_by_app", "V10a", """
-SELECT app, t_s, round(sum(value), 6) AS value FROM if_in_errors_rate GROUP BY ALL
+SELECT app, t_s, round(sum(value) * TIE, 6) AS value FROM if_in_errors_rate GROUP BY ALL
 """, "if_in_errors_rate")
 def _(spark, sf_dir):
     return d.seconds(s.rollup_by_app(d.health(spark, sf_dir).series("if_in_errors_rate")))
@@ -123,7 +123,7 @@ def _(spark, sf_dir):
     return d.seconds(alert_ticks(d.samples(spark, sf_dir), BY_IF_NAME, d.GRID))
 
 
-@query("sum_or_either", "V12", "SELECT app, service, t_s, round(value, 6) AS value FROM path_errors_rate", "path_errors_rate")
+@query("sum_or_either", "V12", "SELECT app, service, t_s, round(value * TIE, 6) AS value FROM path_errors_rate", "path_errors_rate")
 def _(spark, sf_dir):
     return d.seconds(d.health(spark, sf_dir).sum_of_sides("if_in_errors_rate", "if_out_errors_rate"))
 
@@ -159,7 +159,7 @@ def _(spark, sf_dir):
 
 
 @query("age_of_newest", "V15", """
-SELECT t_s, round((t.t - max(x.us)) / 1000000.0, 6)::DOUBLE AS value FROM ticks t JOIN gappy x ON x.us <= t.t GROUP BY t.t, t_s
+SELECT t_s, round((t.t - max(x.us)) / 1000000.0 * TIE, 6)::DOUBLE AS value FROM ticks t JOIN gappy x ON x.us <= t.t GROUP BY t.t, t_s
 """, "ticks gappy")
 def _(spark, sf_dir):
     return d.seconds(s.age_of_newest(_gappy(spark, sf_dir), d.GRID, d.GRID.ticks(spark)))
@@ -176,7 +176,7 @@ COVERS = {
 
 
 def _series_query(name: str, covers: str) -> None:
-    @query(name, covers, f"SELECT * REPLACE (round(CAST(value AS DOUBLE), 6) AS value) FROM {name}", name)
+    @query(name, covers, f"SELECT * REPLACE (round(CAST(value AS DOUBLE) * TIE, 6) AS value) FROM {name}", name)
     def _(spark, sf_dir):
         return d.seconds(d.health(spark, sf_dir).series(name))
 
@@ -186,9 +186,9 @@ for _name in SERIES_NAMES:
 
 
 @query("path_rollups", "H12 H13 H14 H15 H16", """
-SELECT app, service, t_s, round(u.value, 6) AS path_util_max, CAST(o.value AS DOUBLE) AS path_oper_up_min,
-       CAST(n.value AS DOUBLE) AS path_hops_down, round(e.value, 6) AS path_errors_rate,
-       round(x.value, 6) AS path_discards_rate
+SELECT app, service, t_s, round(u.value * TIE, 6) AS path_util_max, CAST(o.value AS DOUBLE) AS path_oper_up_min,
+       CAST(n.value AS DOUBLE) AS path_hops_down, round(e.value * TIE, 6) AS path_errors_rate,
+       round(x.value * TIE, 6) AS path_discards_rate
 FROM path_util_max u FULL JOIN path_oper_up_min o USING (app, service, t_s) FULL JOIN path_hops_down n USING (app, service, t_s)
 FULL JOIN path_errors_rate e USING (app, service, t_s) FULL JOIN path_discards_rate x USING (app, service, t_s)
 """, "path_util_max path_oper_up_min path_hops_down path_errors_rate path_discards_rate")
@@ -196,21 +196,21 @@ def _(spark, sf_dir):
     """All path rollups in one pass."""
     rolled = d.health(spark, sf_dir).path_rollups().withColumn("t_s", F.expr("t div 1000000")).drop("t")
     for c in ("path_util_max", "path_errors_rate", "path_discards_rate"):
-        rolled = rolled.withColumn(c, F.round(c, 6))
+        rolled = rolled.withColumn(c, d.rounded(F.col(c)))
     return rolled
 
 
 @query("interface_ticks", "V1 V4", f"""
-SELECT instance, if_name, t_s, round(max(CASE WHEN metric = 'ifHCOutOctets' THEN value END), 6) AS out_octets,
-       round(max(CASE WHEN metric = 'ifOutErrors' THEN value END), 6) AS out_errors,
+SELECT instance, if_name, t_s, round(max(CASE WHEN metric = 'ifHCOutOctets' THEN value END) * TIE, 6) AS out_octets,
+       round(max(CASE WHEN metric = 'ifOutErrors' THEN value END) * TIE, 6) AS out_errors,
        max(CASE WHEN metric = 'ifOperStatus' THEN value END) AS status
 FROM (SELECT metric, {KEYS_SQL}, t_s, value FROM rates WHERE metric IN ('ifHCOutOctets', 'ifOutErrors')
       UNION ALL SELECT metric, {KEYS_SQL}, t_s, value FROM instants WHERE metric = 'ifOperStatus') GROUP BY ALL
 """, "rates instants")
 def _(spark, sf_dir):
     ticks = interface_ticks(d.samples(spark, sf_dir), ["out_octets", "out_errors", "status"], BY_IF_NAME, d.GRID)
-    return ticks.select(*BY_IF_NAME, F.expr("t div 1000000").alias("t_s"), F.round("out_octets", 6).alias("out_octets"),
-                        F.round("out_errors", 6).alias("out_errors"), "status")
+    return ticks.select(*BY_IF_NAME, F.expr("t div 1000000").alias("t_s"), d.rounded(F.col("out_octets")).alias("out_octets"),
+                        d.rounded(F.col("out_errors")).alias("out_errors"), "status")
 
 
 # Alert rules. Days stand in for minutes: holds are scaled to the step of the grid.
@@ -229,7 +229,7 @@ FROM (SELECT *, min(t_s) OVER (PARTITION BY {comma}island) AS active_since_s
 
 
 def _state(df, labels):
-    return df.select(*labels, F.expr("t div 1000000").alias("t_s"), F.round("value", 6).alias("value"),
+    return df.select(*labels, F.expr("t div 1000000").alias("t_s"), d.rounded(F.col("value")).alias("value"),
                      F.expr("active_since div 1000000").alias("active_since_s"), "state")
 
 
@@ -238,10 +238,10 @@ def _alerting(spark, sf_dir, **changes):
     return Alerting(**{**values, **changes})
 
 
-STALE = "SELECT t_s, round((t.t - max(x.us)) / 1000000.0, 6)::DOUBLE AS value FROM ticks t JOIN gappy x ON x.us <= t.t GROUP BY t.t, t_s"
+STALE = "SELECT t_s, round((t.t - max(x.us)) / 1000000.0 * TIE, 6)::DOUBLE AS value FROM ticks t JOIN gappy x ON x.us <= t.t GROUP BY t.t, t_s"
 
 
-@query("hold", "A0", held("app, service", "SELECT app, service, t_s, round(value, 6) AS value FROM path_hops_down WHERE value > 1"),
+@query("hold", "A0", held("app, service", "SELECT app, service, t_s, round(value * TIE, 6) AS value FROM path_hops_down WHERE value > 1"),
        "path_hops_down")
 def _(spark, sf_dir):
     active = s.compare(d.health(spark, sf_dir).path_hops_down(), ">", 1)
@@ -298,7 +298,7 @@ def _(spark, sf_dir):
 
 
 def _path_alert(name: str, covers: str, source: str, bound: str) -> None:
-    text = f"SELECT app, service, t_s, round(value, 6) AS value FROM {source} WHERE value > {bound}"
+    text = f"SELECT app, service, t_s, round(value * TIE, 6) AS value FROM {source} WHERE value > {bound}"
 
     @query(f"alert_{name}", covers, held("app, service", text), source)
     def _(spark, sf_dir):

@@ -80,23 +80,25 @@ def _(spark, sf_dir):
 
 
 @query("parse_declarations", "S6", """
-SELECT file, app, runs_as, owner, criticality, dep_count, customer_count, NULL::VARCHAR AS parse_error FROM doc
-""", "doc")
+SELECT 'c-' || c_custkey AS file, CASE WHEN c_custkey % 8 <> 0 THEN c_name END AS app,
+       CASE WHEN c_custkey % 8 <> 0 THEN c_mktsegment END AS owner,
+       CASE WHEN c_custkey % 8 <> 0 THEN 'Te0/0/' || c_nationkey END AS second_hop,
+       c_custkey % 8 <> 0 AS parsed FROM customer
+""")
 def _(spark, sf_dir):
-    """Each declaration as text through the file parser: JSON text is also YAML."""
-    body = F.to_json(F.struct(*[f for f in DECL_READ.names if f not in ("file", "parse_error")]))
-    texts = d.declarations(spark, sf_dir).select("file", body.alias("value")).repartition("file")
-    read = parse_texts(texts)
-    size = lambda c: F.size(F.coalesce(c, F.array())).cast("bigint")
-    return read.select("file", "app", "runs_as", "owner", "criticality", size("depends_on").alias("dep_count"),
-                       size("consumed_by_customers").alias("customer_count"), "parse_error")
-
-
-def _bodies(spark, sf_dir):
-    """Alerts of a week as one posted JSON array each."""
-    alert = F.struct("labels", "annotations", F.col("starts_at").alias("startsAt"), F.col("ends_at").alias("endsAt"),
-                     F.col("alert_id").alias("id"))
-    return d.alerts(spark, sf_dir).select(F.concat(F.lit("["), F.to_json(alert), F.lit("]")).alias("value"))
+    """A YAML file per customer; one in eight has a misspelt key, is empty or is no mapping."""
+    key = F.col("c_custkey")
+    good = F.format_string(
+        "app: '%s'\nruns_as: svc-%d  # comment\nowner: %s\nconsumed_by_customers: [acme, globex]\ndepends_on:\n"
+        "  - to: ledger\n    path:\n      hops:\n        - {device: r-%d, if: uplink, direction: egress}\n"
+        "        - {device: r-%d, if: 'Te0/0/%d', direction: ingress}\n",
+        "c_name", "c_custkey", "c_mktsegment", "c_nationkey", "c_nationkey", "c_nationkey")
+    bad = F.when(key % 24 == 0, F.concat(good, F.lit("runz_as: x\n"))).when(key % 24 == 8, "# nothing\n").otherwise("- a\n")
+    texts = d.table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c-"), key.cast("string")).alias("file"), F.when(key % 8 == 0, bad).otherwise(good).alias("value"))
+    read = parse_texts(texts.repartition("file"))
+    second = F.col("depends_on")[0]["path"]["hops"][1]["if"]
+    return read.select("file", "app", "owner", second.alias("second_hop"), F.col("parse_error").isNull().alias("parsed"))
 
 
 @query("declarations_from_json", "S6", """
@@ -140,7 +142,7 @@ def _(spark, sf_dir):
 
 
 @query("tenant_series", "K1", """
-SELECT app, service, t_s, round(value, 6) AS value, 'tenant-a' AS tenant FROM path_hops_down
+SELECT app, service, t_s, round(value * TIE, 6) AS value, 'tenant-a' AS tenant FROM path_hops_down
 """, "path_hops_down")
 def _(spark, sf_dir):
     series = d.health(spark, sf_dir).series("path_hops_down")
