@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Entity kinds, each its own hash domain.
 KINDS = (
@@ -56,7 +57,7 @@ def entity_hash(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(kind + ":"), F.substring(digest, 1, 16))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     present = text.notna()
     if not present.any():

@@ -139,10 +139,10 @@ def _(spark, sf_dir):
 LAG_S = 345600
 
 
-def _gappy(spark, sf_dir, extra=F.lit(True)):
+def _gappy(spark, sf_dir):
     """Inbound octets with scrapes missing for half of every two weeks."""
     week = F.expr(f"(unix_seconds(ts) - {d.EVENTS_FROM}) div {d.WEEK}")
-    return _metric(spark, sf_dir, "ifHCInOctets").filter((week % 2 == 1) & extra)
+    return _metric(spark, sf_dir, "ifHCInOctets").filter(week % 2 == 1)
 
 
 GAPPY = f"((us // 1000000 - {d.EVENTS_FROM}) // {d.WEEK}) % 2 = 1"

@@ -21,13 +21,13 @@ from hopledger.sources.samples import address_inventory, app_seed, attach_target
 from hopledger.sources.sinks import exposition_lines, stamp_tenant
 
 PATTERN = "ifHC(In|Out)Octets|ALERTS"
-SAMPLE_OUT = ["metric", "instance", "if_index", "if_name", "iface", "value", F.unix_micros("ts").alias("us")]
+SAMPLE_OUT = ["metric", "instance", "if_index", "if_name", "iface", "value", "unix_micros(ts) AS us"]
 SAMPLE_SQL = "metric, instance, if_index, if_name, iface, value, us"
 
 
 @query("keep_metrics", "S1", f"SELECT {SAMPLE_SQL} FROM samples WHERE regexp_full_match(metric, '{PATTERN}')", "samples")
 def _(spark, sf_dir):
-    return keep_metrics(d.samples(spark, sf_dir), PATTERN).select(*SAMPLE_OUT)
+    return keep_metrics(d.samples(spark, sf_dir), PATTERN).selectExpr(*SAMPLE_OUT)
 
 
 @query("keep_scoped", "S2", """
@@ -38,7 +38,7 @@ WHERE metric IN ('ifHCInOctets', 'ifOperStatus') OR (metric = 'ALERTS' AND if_na
 def _(spark, sf_dir):
     unnamed = F.when(F.col("alertname") == "HighErrors", "").otherwise(F.col("if_name"))
     rows = d.samples(spark, sf_dir).withColumn("if_name", unnamed)
-    return keep_scoped(rows, ["ifHCInOctets", "ifOperStatus"]).select(*SAMPLE_OUT)
+    return keep_scoped(rows, ["ifHCInOctets", "ifOperStatus"]).selectExpr(*SAMPLE_OUT)
 
 
 @query("attach_targets", "S3", f"""
