@@ -31,7 +31,11 @@ class Feed:
 def drain(stream, folder, name, each=None):
     writer = stream.writeStream.outputMode("append").option("checkpointLocation", str(folder / f"{name}-state")).trigger(availableNow=True)
     writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", str(folder / name))
-    writer.start().awaitTermination()
+    running = writer.start()
+    try:
+        assert running.awaitTermination(120), "the stream did not catch up"
+    finally:
+        running.stop()
 
 
 def test_rates_equal_batch_and_late_samples_change_nothing(spark, tmp_path):
@@ -112,8 +116,16 @@ def test_labels_stay_the_same_when_a_lookup_fails(spark, tmp_path):
     feed.send(row("k", "t1", 1, "L1"), row("q", "t1", 2, None))
     feed.send(row("k", "t1", 3, None), row("k", "t2", 4, None))
     feed.send(row("k", "t1", 5, "L9"))
-    drain(stream_stable_labels(feed.stream), tmp_path, "out")
-    got = {r.alert_id: r.impact_labels for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    # a clock keeps this stream running even when it is caught up
+    running = stream_stable_labels(feed.stream).writeStream.outputMode("append").format("memory").queryName("labels").option(
+        "checkpointLocation", str(tmp_path / "state")).trigger(processingTime="500 milliseconds").start()
+    got, until = {}, time.time() + 60
+    try:
+        while time.time() < until and len(got) < 5:
+            time.sleep(1)
+            got = {r.alert_id: r.impact_labels for r in spark.table("labels").collect()}
+    finally:
+        running.stop()
     assert got == {1: "L1", 2: None, 3: "L1", 4: None, 5: "L1"}
 
 
