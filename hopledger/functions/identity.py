@@ -33,27 +33,40 @@ SPACES = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+ASCII_SPACES = "\t\n\x0b\x0c\r "
+
 UNIT_SEPARATOR = "\x1f"
 
 INTEGER = "^[+-]?[0-9]+$"
 
 
+def is_ascii(text: Column) -> Column:
+    """As many bytes as characters: cheaper than a pattern."""
+    return F.octet_length(text) == F.char_length(text)
+
+
 def plain_lower(text: Column) -> Column:
     """Lower case code point by code point: the JVM alone would expand U+0130 and pick a final sigma."""
-    return F.lower(F.translate(text, "\u0130\u03a3", "i\u03c3"))
+    return F.when(is_ascii(text), F.lower(text)).otherwise(F.lower(F.translate(text, "\u0130\u03a3", "i\u03c3")))
 
 
 def trim_spaces(text: Column) -> Column:
     """Trim all Unicode white space, not only the ASCII blank."""
-    return F.trim(text, F.lit(SPACES))
+    return F.when(is_ascii(text), F.trim(text, F.lit(ASCII_SPACES))).otherwise(F.trim(text, F.lit(SPACES)))
+
+
+def folded(text: Column) -> Column:
+    """Trimmed and lowered, in one test of the text."""
+    beyond = F.lower(F.translate(F.trim(text, F.lit(SPACES)), "\u0130\u03a3", "i\u03c3"))
+    return F.when(is_ascii(text), F.lower(F.trim(text, F.lit(ASCII_SPACES)))).otherwise(beyond)
 
 
 def entity_hash(kind: str, *parts: Column) -> Column:
     """``kind:`` and 16 hex digits over the kind and its trimmed, lowered parts."""
     if kind not in KINDS:
         raise ValueError(f"unknown entity kind {kind!r}")
-    folded = [F.coalesce(plain_lower(trim_spaces(p.cast("string"))), F.lit("")) for p in parts]
-    digest = F.sha2(F.concat_ws(UNIT_SEPARATOR, F.lit(kind), *folded), 256)
+    pieces = [F.coalesce(folded(p.cast("string")), F.lit("")) for p in parts]
+    digest = F.sha2(F.concat_ws(UNIT_SEPARATOR, F.lit(kind), *pieces), 256)
     return F.concat(F.lit(kind + ":"), F.substring(digest, 1, 16))
 
 
@@ -77,9 +90,9 @@ def normalize_token(text: Column) -> Column:
     Spark has no compatibility normaliser, so text beyond ASCII goes through one Arrow function;
     ASCII text is passed to it as null and stays in the JVM.
     """
-    ascii_only = text.rlike("^[\\x00-\\x7F]*$")
-    composed = F.when(ascii_only, text).otherwise(_nfkc(F.when(~ascii_only, text)))
-    return plain_lower(F.translate(composed, SPACES, ""))
+    plain = F.lower(F.regexp_replace(text, "[\\t-\\r ]+", ""))
+    composed = F.translate(_nfkc(F.when(~is_ascii(text), text)), SPACES, "")
+    return F.when(is_ascii(text), plain).otherwise(plain_lower(composed))
 
 
 def expand_if_name(token: Column) -> Column:

@@ -43,6 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the scan has fewer tasks than cores; a large scan is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A derived table, written once per application to the shared folder and read from there.
 
@@ -144,7 +150,7 @@ def declared_ref(n: Column, ln: Column, pick: Column) -> Column:
 def lineitem_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, ln = F.col("l_suppkey"), F.col("l_linenumber").cast("bigint")
     side = F.when(F.col("l_returnflag") == "A", "ingress").when(F.col("l_returnflag") == "N", "transit")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("orderkey"), (F.col("l_partkey") % 2).alias("path_ix"), ln.alias("seq"),
         declared_device(n).alias("device"), declared_ref(n, ln, F.col("l_partkey")).alias("ref"),
         side.otherwise("egress").alias("direction"),
@@ -180,7 +186,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = F.when(part % 53 == 0, F.array(F.lit("cust:bad"))).when(
         part % 3 == 0, F.array(F.lit("acme"), F.concat(F.lit("cust-"), _text(part % 10)))
     ).otherwise(F.expr("cast(array() as array<string>)"))
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         F.concat_ws("-", F.lit("decl"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("file"),
         F.when(part % 59 == 0, " ").otherwise(
             F.concat(F.when(ln % 2 == 0, "App-").otherwise("app-"), _text(F.col("l_orderkey")))

@@ -202,6 +202,11 @@ SELECT qid, CASE WHEN kind = 2 THEN CASE WHEN qid % 2 = 0 THEN 'invalid at' ELSE
 FROM request WHERE kind = 2 OR qid IN (SELECT qid FROM request_refs WHERE trim(ref) = '')
 """, "request request_refs request_target exposed affected")
 def _(spark, sf_dir):
+    asked = d.stored(spark, sf_dir, "requests", lambda: _requests(spark, sf_dir))
+    return tp.answer_requests(d.topology(spark, sf_dir), asked, F.lit(d.NOW_S).cast("bigint"))
+
+
+def _requests(spark, sf_dir):
     """A request per order: by index (with a name beside it), by name, with a bad index or a bad time."""
     suppliers = d.table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("c")).scalar()
     key = F.col("o_orderkey")
@@ -209,7 +214,7 @@ def _(spark, sf_dir):
     n, ln, kind = F.col("n"), key % 7 + 1, key % 5
     exact, bad = kind.isin(0, 3), kind == 2
     at_s = F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string")
-    requests = rows.select(
+    return rows.select(
         key.alias("qid"),
         F.when(exact | bad, F.concat(F.lit(" "), d.address(n), F.lit(":9116"))).alias("instance"),
         F.when(exact, ln.cast("string")).when(bad, "7x").alias("if_index_raw"),
@@ -217,7 +222,6 @@ def _(spark, sf_dir):
         F.when(kind != 2, d.declared_ref(n, ln, key)).alias("ref"),
         F.when(bad & (key % 2 == 0), "-1").otherwise(at_s).alias("at_raw"),
     )
-    return tp.answer_requests(d.topology(spark, sf_dir), requests, F.lit(d.NOW_S).cast("bigint"))
 
 
 @query("impact_asof", "Q7", f"""
