@@ -360,9 +360,13 @@ def health(spark: SparkSession, sf_dir: str, keys: list[str] | None = None) -> P
     return PathHealth(samples(spark, sf_dir), mapping(spark, sf_dir), GRID, keys)
 
 
+def in_seconds(series: DataFrame) -> DataFrame:
+    return series.withColumn("t_s", F.expr("t div 1000000")).drop("t")
+
+
 def seconds(series: DataFrame, digits: int = 6) -> DataFrame:
-    """Ticks in seconds and rounded values, as the checks compare them."""
-    return series.withColumn("t_s", F.expr("t div 1000000")).withColumn("value", rounded(F.col("value"), digits)).drop("t")
+    """Ticks in seconds and rounded values, as the checks compare computed figures."""
+    return in_seconds(series).withColumn("value", rounded(F.col("value"), digits))
 
 
 def rounded(value: Column, digits: int = 6) -> Column:

@@ -21,11 +21,11 @@ def _metric(spark, sf_dir, name):
 
 
 @query("instant_vector", "V1 V2", f"""
-SELECT {KEYS_SQL}, t_s, sample_us, round(value * TIE, 6) AS value FROM instants WHERE metric = 'ifHCInOctets'
+SELECT {KEYS_SQL}, t_s, sample_us, value FROM instants WHERE metric = 'ifHCInOctets'
 """, "instants")
 def _(spark, sf_dir):
     rows = s.select_labels(d.samples(spark, sf_dir), metric="ifHCInOctets")
-    return d.seconds(s.instant_vector(rows, KEYS, d.GRID))
+    return d.in_seconds(s.instant_vector(rows, KEYS, d.GRID))
 
 
 @query("range_vector", "V3", f"""
@@ -59,17 +59,17 @@ def _(spark, sf_dir):
     parts = [s.scaled(s.compare(speed, ">", 0), 1e6).withColumn("kind", F.lit("speed")),
              s.equals_flag(status, 1).withColumn("kind", F.lit("up")),
              s.compare(status, "!=", 1).withColumn("kind", F.lit("down"))]
-    return d.seconds(parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("sample_us"))
+    return d.in_seconds(parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("sample_us"))
 
 
 @query("fan_out", "V8 V8k", f"""
-SELECT {LABELS}, m.direction, x.t_s, round(x.value * TIE, 6) AS value FROM instants x
+SELECT {LABELS}, m.direction, x.t_s, x.value FROM instants x
 JOIN mapping m ON m.iface = x.iface WHERE x.metric = 'ifHCInOctets'
 """, "instants mapping")
 def _(spark, sf_dir):
     """On the composite key."""
     one = s.instant_vector(_metric(spark, sf_dir, "ifHCInOctets"), KEYS, d.GRID)
-    return d.seconds(s.fan_out(one, d.mapping(spark, sf_dir), BY_IFACE))
+    return d.in_seconds(s.fan_out(one, d.mapping(spark, sf_dir), BY_IFACE))
 
 
 @query("fan_out_conflicts", "V8", """
@@ -115,7 +115,7 @@ def _(spark, sf_dir):
     for how in ("max", "min", "sum"):
         part = s.aggregate_by(rows, how, ["instance"]).withColumn("how", F.lit(how))
         out = part if out is None else out.unionByName(part)
-    return d.seconds(out)
+    return d.in_seconds(out)
 
 
 @query("count_by", "V10c", "SELECT instance, if_name, t_s, CAST(value AS DOUBLE) AS value FROM firing", "firing")

@@ -115,6 +115,13 @@ def _(spark, sf_dir):
         "file", "app", F.size(F.coalesce("depends_on", F.array())).cast("bigint").alias("dep_count"), "parse_error")
 
 
+def _bodies(spark, sf_dir):
+    """Each alert as a posted JSON array."""
+    alert = F.struct("labels", "annotations", F.col("starts_at").alias("startsAt"), F.col("ends_at").alias("endsAt"),
+                     F.col("alert_id").alias("id"))
+    return d.alerts(spark, sf_dir).select(F.concat(F.lit("["), F.to_json(alert), F.lit("]")).alias("value"))
+
+
 @query("parse_alerts", "S9", f"""
 SELECT alert_id, CASE kind WHEN 0 THEN device WHEN 1 THEN device WHEN 3 THEN device END AS instance,
        CASE kind WHEN 0 THEN CAST(if_index AS VARCHAR) WHEN 3 THEN 'x7' END AS if_index,
