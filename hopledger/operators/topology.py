@@ -139,20 +139,23 @@ def find_by_index(catalog: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def impact_by_index(topology: Topology, queries: DataFrame) -> DataFrame:
-    """Q3: ``queries(qid, instance, if_index, at_s)``; rows only for a single interface."""
+def impact_by_index(topology: Topology, queries: DataFrame, exposed: DataFrame | None = None) -> DataFrame:
+    """Q3: ``queries(qid, instance, if_index, at_s)``; rows only for a single interface.
+
+    Here and below ``exposed`` is the stored ``exposure``; without it the history is joined anew.
+    """
     found = queries.join(find_by_index(topology.catalog, queries), ["instance", "if_index"]).filter("status = 'ok'")
-    answers = impact_asof(topology, found)
+    answers = impact_asof(topology, found, exposed)
     return found.select("qid", "iface_phash", "at_s").join(answers, ["iface_phash", "at_s"]).select(
         "qid", *IMPACT_COLUMNS
     )
 
 
-def impact_by_name(topology: Topology, queries: DataFrame) -> DataFrame:
+def impact_by_name(topology: Topology, queries: DataFrame, exposed: DataFrame | None = None) -> DataFrame:
     """Q4: ``queries(qid, device, ref, at_s)`` through reference resolution."""
     found = queries.join(resolve_refs(queries, topology.catalog), ["device", "ref"]).filter("status = 'ok'")
     found = found.withColumnRenamed("phash", "iface_phash")
-    answers = impact_asof(topology, found)
+    answers = impact_asof(topology, found, exposed)
     return found.select("qid", "iface_phash", "at_s").join(answers, ["iface_phash", "at_s"]).select(
         "qid", *IMPACT_COLUMNS
     )
@@ -189,12 +192,14 @@ def resolve_targets(catalog: DataFrame, moded: DataFrame) -> DataFrame:
     return exact.select(*columns).unionByName(name.select(*columns))
 
 
-def answer_requests(topology: Topology, requests: DataFrame, now_s: Column) -> DataFrame:
+def answer_requests(
+    topology: Topology, requests: DataFrame, now_s: Column, exposed: DataFrame | None = None
+) -> DataFrame:
     """Q5, Q6: every request answered, with a ``note`` where there are no rows to give."""
     moded = choose_mode(requests, now_s)
     targets = resolve_targets(topology.catalog, moded)
     rows = targets.join(
-        impact_asof(topology, targets.filter("target_status = 'ok'")), ["iface_phash", "at_s"], "left"
+        impact_asof(topology, targets.filter("target_status = 'ok'"), exposed), ["iface_phash", "at_s"], "left"
     )
     note = (
         F.when(F.col("target_status") == "no_match", "no interface matches")

@@ -146,7 +146,7 @@ def _(spark, sf_dir):
     queries = d.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("qid"), F.concat(d.address(F.col("user_id")), F.lit(":9116")).alias("instance"),
         (F.col("event_id") % 7 + 1).alias("if_index"), _event_at().alias("at_s"))
-    return tp.impact_by_index(d.topology(spark, sf_dir), queries)
+    return tp.impact_by_index(d.topology(spark, sf_dir), queries, d.exposed(spark, sf_dir))
 
 
 fragment("event_refs", f"""
@@ -166,7 +166,7 @@ def _(spark, sf_dir):
     queries = d.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("qid"), d.declared_device(n).alias("device"),
         d.declared_ref(n, ln, F.col("event_id")).alias("ref"), _event_at().alias("at_s"))
-    return tp.impact_by_name(d.topology(spark, sf_dir), queries)
+    return tp.impact_by_name(d.topology(spark, sf_dir), queries, d.exposed(spark, sf_dir))
 
 
 fragment("request", f"""
@@ -203,7 +203,8 @@ FROM request WHERE kind = 2 OR qid IN (SELECT qid FROM request_refs WHERE trim(r
 """, "request request_refs request_target exposed affected")
 def _(spark, sf_dir):
     asked = d.stored(spark, sf_dir, "requests", lambda: _requests(spark, sf_dir))
-    return tp.answer_requests(d.topology(spark, sf_dir), asked, F.lit(d.NOW_S).cast("bigint"))
+    now_s = F.lit(d.NOW_S).cast("bigint")
+    return tp.answer_requests(d.topology(spark, sf_dir), asked, now_s, d.exposed(spark, sf_dir))
 
 
 def _requests(spark, sf_dir):
