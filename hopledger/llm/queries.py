@@ -103,3 +103,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hopledger.llm.byte_bpe import encode_texts
 
     return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
+@query
+def op1_toxic_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hopledger.llm.toxicity import score_held_out
+
+    return score_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op8_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hopledger.llm.language import identify_held_out
+
+    return identify_held_out(table(spark, sf_dir, "documents"))
