@@ -117,3 +117,37 @@ def op8_language_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hopledger.llm.language import identify_held_out
 
     return identify_held_out(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_warc_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hopledger.llm.warc import pages_through_archives
+
+    return pages_through_archives(table(spark, sf_dir, "pages"))
+
+
+SQL["op6_warc_captures"] = """
+WITH digested AS (
+    SELECT page_id, url, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), firsts AS (
+    SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM digested
+)
+SELECT page_id, url, payload_bytes, payload_digest,
+       CASE WHEN first_id IS NOT NULL AND first_id IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
+
+@query
+def op7_disclosure_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hopledger.llm.disclosure import find
+
+    return find(table(spark, sf_dir, "documents")).drop("terms")
+
+
+@query
+def op5_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hopledger.llm.main_text import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
