@@ -116,19 +116,34 @@ def _inside(rows: DataFrame, state: DataFrame, level: int) -> DataFrame:
     return rows.join(open_at, rows.src.eqNullSafe(F.col("s")) & (_prefix(level) == F.col("p")), "left_semi")
 
 
+def _plan(docs: DataFrame, weights: Sequence[int], share: float, most: float) -> tuple[DataFrame, DataFrame, Column]:
+    """Sizes of the documents, the thresholds of the sources (src as s), and the copies of a document beside its threshold."""
+    sized = kept(docs.select("doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"),
+                             document_hash(F.col("doc_id")).alias("hash")))
+    targets = kept(source_targets(sized.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most))
+    cuts = thresholds(sized, targets).withColumnRenamed("src", "s")
+    copies = F.least(F.col("base") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0), F.lit(int(most)))
+    return sized, cuts, copies
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """How often each document enters the mix: (doc_id, source, size, source_size, target, taken, copies).
 
     ``size`` counts words (null text: 0). Sources are weighted in code-point order, null last. A document is taken 0, 1 or 2 times, whole;
     documents with one id share one hash and one fate. A source's taken words miss its target by at most half of one boundary document
-    (or of the documents that share its hash). Sources without words have target 0 and take nothing. An empty table gives no rows.
+    (or of the documents that share its hash). Sources without words have target 0 and take nothing. Extra columns do not matter; an
+    empty table gives no rows.
     """
-    sized = kept(docs.select("doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"),
-                             document_hash(F.col("doc_id")).alias("hash")))
-    targets = kept(source_targets(sized.groupBy("src").agg(F.sum("size").alias("source_size")), weights, share, most))
-    cuts = thresholds(sized, targets).withColumnRenamed("src", "s")
-    copies = F.least(F.col("base") + F.when(F.col("hash") < F.col("cut"), 1).otherwise(0), F.lit(int(most)))
+    sized, cuts, copies = _plan(docs, weights, share, most)
     return sized.join(cuts, F.col("src").eqNullSafe(F.col("s"))).select(
         "doc_id", F.col("src").alias("source"), "size", "source_size", "target",
         (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"),
     )
+
+
+def draw(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it. Texts are not shuffled: a row needs its source's threshold only."""
+    _, cuts, copies = _plan(docs, weights, share, most)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("source").alias("src"), document_hash(F.col("doc_id")).alias("hash"))
+    placed = rows.join(cuts.select("s", "base", "cut"), F.col("src").eqNullSafe(F.col("s")))
+    return placed.select("row", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))).alias("copy")).select("row.*")

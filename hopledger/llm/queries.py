@@ -151,3 +151,30 @@ def op5_host_suffix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hopledger.llm.main_text import main_text
 
     return main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_columnar_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hopledger.llm.exact_search import exact_top_k
+
+    return exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op3_columnar_top_k"] = """
+WITH v AS (
+    SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter([isfinite(coalesce(x, 'nan'::FLOAT)) FOR x IN embedding], lambda ok: NOT ok)) = 0
+), pairs AS (
+    SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0
+)
+SELECT query_id, rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pairs) WHERE rank <= 5
+"""
+
+
+@query
+def op4_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hopledger.llm.projected_search import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
