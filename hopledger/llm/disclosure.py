@@ -137,21 +137,21 @@ class TermFilter:
         self.known: dict[str, bool] = {}
 
     @staticmethod
-    def places(term: str) -> list[int]:
+    def places(term: str, size: int) -> list[int]:
         h = xxh3_64_intdigest(term)
-        return [(h >> shift) % FILTER_BITS for shift in (0, 21, 41)]
+        return [(h >> shift) % size for shift in (0, 21, 41)]
 
     @staticmethod
-    def of(terms: DataFrame) -> TermFilter:
-        """Built in Spark: tasks set bits in words of 32, a word is one row; at most FILTER_BITS / 32 rows reach the driver."""
+    def of(terms: DataFrame, size: int = FILTER_BITS) -> TermFilter:
+        """Built in Spark: tasks set bits in words of 32, a word is one row; at most ``size`` / 32 rows reach the driver."""
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            at = np.array([p for t in texts_of(batch, "term") for p in TermFilter.places(t)], np.int64)
+            at = np.array([p for t in texts_of(batch, "term") for p in TermFilter.places(t, size)], np.int64)
             return pa.RecordBatch.from_arrays([pa.array(at >> 5), pa.array(np.int64(1) << (at & 31))], ["word", "mask"])
 
         found = map_slices(terms.select("term"), "term", "word long, mask long", lambda: work).groupBy("word").agg(
             F.bit_or("mask").alias("mask")).toArrow()
-        bits = np.zeros(FILTER_BITS // 32, np.uint32)
+        bits = np.zeros(size // 32, np.uint32)
         bits[found.column("word").to_numpy()] = found.column("mask").to_numpy().astype(np.uint32)
         return TermFilter(bits)
 
@@ -164,11 +164,11 @@ class TermFilter:
     def passed(self, words: set[str]) -> list[str]:
         if len(self.known) > 1_000_000:
             self.known = {}
-        known, out = self.known, []
+        known, out, size = self.known, [], 32 * self.bits.size
         for w in words:
             ok = known.get(w)
             if ok is None:
-                ok = known[w] = all(self.bits[p >> 5] >> (p & 31) & 1 for p in self.places(w))
+                ok = known[w] = all(self.bits[p >> 5] >> (p & 31) & 1 for p in self.places(w, size))
             if ok:
                 out.append(w)
         return out
