@@ -40,6 +40,31 @@ def overlay(base: Column, top: Column) -> Column:
     return F.map_concat(kept, top)
 
 
+def number_text(value: Column) -> Column:
+    """F16: a number in its shortest form: no trailing ``.0``, an exponent of two digits at least below 1e-4 and from 1e6 on."""
+    value = value.cast("double")
+    shortest = F.abs(value).cast("string")
+    mantissa = F.regexp_extract(shortest, "^[0-9.]+", 0)
+    digits = F.regexp_replace(F.regexp_replace(F.replace(mantissa, F.lit(".")), "^0+", ""), "0+$", "")
+    # The place of the first digit: from the exponent as printed, or from the digits before the point.
+    printed = F.regexp_extract(shortest, "E(-?[0-9]+)$", 1).try_cast("int")
+    whole = F.length(F.substring_index(mantissa, ".", 1)) - 1
+    leading = F.length(F.regexp_extract(mantissa, "^0\\.(0*)", 1)) + 1
+    place = F.coalesce(printed, F.when(F.abs(value) < 1, -leading).otherwise(whole))
+    tail = F.substring(digits, F.lit(2), F.length(digits))
+    power = F.concat(F.when(place < 0, "e-").otherwise("e+"), F.lpad(F.abs(place).cast("string"), F.greatest(F.lit(2), F.length(F.abs(place).cast("string"))), F.lit("0")))
+    scientific = F.concat(F.substring(digits, 1, 1), F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), power)
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -place - 1), digits)
+    text = (
+        F.when(value == 0, "0").when((place < -4) | (place >= 6), scientific)
+        .when(place < 0, small).otherwise(F.regexp_replace(mantissa, "\\.0$", ""))
+    )
+    return (
+        F.when(F.isnan(value), "NaN").when(F.abs(value) == float("inf"), F.when(value > 0, "+Inf").otherwise("-Inf"))
+        .otherwise(F.concat(F.when(value < 0, "-").otherwise(""), text))
+    )
+
+
 def humanize_percentage(ratio: Column) -> Column:
     """F16: the ratio times one hundred to four significant digits, without padding zeros, and a percent sign."""
     scientific = F.format_string("%.3e", ratio.cast("double") * 100)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hopledger.functions.text import humanize_percentage
+from hopledger.functions.text import humanize_percentage, number_text
 from hopledger.operators.health import APP_SERVICE, PathHealth
 from hopledger.operators.series import MICROS, SERIES, Grid, absent, age_of_newest, compare, instant_vector
 
@@ -39,16 +39,16 @@ RULES = {
     "mapping_drift": Rule(
         "MappingDrift", 1800, "warning", "{value} mapping rows match no counter"),
     "path_hop_down": Rule(
-        "PathHopDown", 300, "warning", "{app}: {value} hop(s) down on declared path",
+        "PathHopDown", 300, "warning", "{value} interface(s) on a path of {app} are down",
         "an interface on the declared path of {app}/{service} is down", APP_SERVICE),
     "path_utilization_high": Rule(
-        "PathUtilizationHigh", 900, "warning", "{app}: worst-hop utilization {percent}",
+        "PathUtilizationHigh", 900, "warning", "{app} has a hop that is {percent} full",
         "the busiest hop on the declared path of {app}/{service} is above 90%", APP_SERVICE),
     "path_errors": Rule(
-        "PathErrors", 900, "warning", "{app}: interface errors on declared path",
+        "PathErrors", 900, "warning", "hops of {app} report errors",
         "in and out errors over the hops of {app}/{service}: {value}/s", APP_SERVICE),
     "path_discards": Rule(
-        "PathDiscards", 900, "warning", "{app}: interface discards on declared path",
+        "PathDiscards", 900, "warning", "hops of {app} discard packets",
         "in and out discards over the hops of {app}/{service}: {value}/s", APP_SERVICE),
     "interface_down": Rule(
         "InterfaceDown", 30, "page", "{instance} {if_name} is down", "", SERIES),
@@ -83,7 +83,7 @@ def fill(template: str, labels: list[str]) -> Column:
         if i % 2 == 0:
             pieces.append(F.lit(part))
         elif part == "value":
-            pieces.append(F.col("value").cast("string"))
+            pieces.append(number_text(F.col("value")))
         elif part == "percent":
             pieces.append(humanize_percentage(F.col("value")))
         elif part in labels:

@@ -70,3 +70,11 @@ def retractions(depends_on: DataFrame, present: DataFrame, at_s: int) -> DataFra
 def should_reconcile(validate_only: bool, failed: bool, files: int, allow_empty: bool) -> bool:
     """T6."""
     return not validate_only and not failed and (files > 0 or allow_empty)
+
+
+def gated_retractions(
+    depends_on: DataFrame, present: DataFrame, at_s: int, status: DataFrame, validate_only: bool = False, allow_empty: bool = False,
+) -> DataFrame:
+    """T5 behind T6: retractions only if the batch of ``status(files, failed)`` may reconcile; ``status`` has one row."""
+    may = (~F.col("failed")) & ((F.col("files") > 0) | F.lit(allow_empty)) & F.lit(not validate_only)
+    return retractions(depends_on, present, at_s).filter(status.select(may.alias("may")).scalar())

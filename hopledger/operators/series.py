@@ -222,11 +222,11 @@ def select_labels(df: DataFrame, **labels: str) -> DataFrame:
 
 
 def compare(df: DataFrame, op: str, bound: float) -> DataFrame:
-    """V5: keep the rows, and the values, that satisfy the comparison."""
+    """V5: keep the rows, and the values, that satisfy the comparison; NaN satisfies none but ``!=``."""
     value = F.col("value")
     kept = {">": value > bound, "<": value < bound, "==": value == bound, "!=": value != bound,
             ">=": value >= bound, "<=": value <= bound}
-    return df.filter(kept[op])
+    return df.filter(kept[op] if op == "!=" else kept[op] & ~F.isnan(value))
 
 
 def equals_flag(df: DataFrame, to: float) -> DataFrame:
@@ -240,9 +240,14 @@ def scaled(df: DataFrame, factor: float) -> DataFrame:
 
 
 def aggregate_by(df: DataFrame, how: str, by: list[str]) -> DataFrame:
-    """``max``, ``min`` or ``sum`` by labels and tick; combined before the shuffle."""
-    fold = {"max": F.max, "min": F.min, "sum": F.sum}[how]
-    return df.groupBy(*by, "t").agg(fold("value").alias("value"))
+    """``max``, ``min`` or ``sum`` by labels and tick; combined before the shuffle.
+
+    A NaN is the greatest or least value only where there is no number beside it; in a sum it stays.
+    """
+    number = F.when(~F.isnan("value"), F.col("value"))
+    fold = {"max": F.coalesce(F.max(number), F.max("value")), "min": F.coalesce(F.min(number), F.min("value")),
+            "sum": F.sum("value")}[how]
+    return df.groupBy(*by, "t").agg(fold.alias("value"))
 
 
 def rollup_by_app(df: DataFrame) -> DataFrame:

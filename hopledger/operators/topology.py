@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from hopledger.functions.identity import iface_label, strict_int, trim_spaces
 from hopledger.functions.times import as_of_seconds, valid_at
 from hopledger.operators.catalog import resolve_refs
+from hopledger.operators.intervals import join_valid
 
 HOP_COLUMNS = [
     "device", "if_name", "metric_if_name", "instance", "if_index",
@@ -60,8 +61,7 @@ def app_paths_asof(topology: Topology, queries: DataFrame) -> DataFrame:
     """Q1 in bulk: ``queries(app_phash, at_s)``, each with its own instant."""
     wanted = queries.select("app_phash", "at_s").distinct().join(topology.runs_as, "app_phash")
     steps = (
-        wanted.join(topology.takes.drop("app_phash"), "svc_phash")
-        .filter(valid_at(F.col("at_s"), F.col("valid_from"), F.col("valid_to")))
+        join_valid(wanted, topology.takes.drop("app_phash"), ["svc_phash"])
         .select("app_phash", "at_s", "path_phash", "provenance", "confidence")
         .join(topology.hop, "path_phash")
     )
@@ -117,14 +117,11 @@ def impact_at(topology: Topology, at_s: int) -> DataFrame:
 def impact_asof(topology: Topology, lookups: DataFrame, exposed: DataFrame | None = None) -> DataFrame:
     """Q7: ``lookups(iface_phash, at_s)`` against the history, one distinct lookup answered once.
 
-    An equality join on the interface with the validity as residual condition. Adaptive planning
-    splits a hot interface: the distinct that follows has a shuffle of its own.
+    The join goes by time buckets (``join_valid``), so a lookup meets little more than what is valid at its instant.
     """
     wanted = lookups.select("iface_phash", "at_s").distinct()
     exposed = exposure(topology) if exposed is None else exposed
-    hits = wanted.join(exposed, "iface_phash").filter(
-        valid_at(F.col("at_s"), F.col("valid_from"), F.col("valid_to"))
-    )
+    hits = join_valid(wanted, exposed, ["iface_phash"])
     return _impact_rows(topology, hits, ["iface_phash", "at_s"])
 
 

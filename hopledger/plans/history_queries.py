@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hopledger.functions.identity import entity_hash
 from hopledger.operators import history as h
+from hopledger.operators.declare import batch_status
 from hopledger.operators import topology as tp
 from hopledger.operators.mapping import curated_apps, in_mapping_order, live_mapping, mapping_series, without_direction
 from hopledger.plans import domain as d
@@ -68,13 +69,34 @@ def _present(spark, sf_dir):
     return recent.select(d.app_hash(d.app_name(F.col("o_custkey"))).alias("app_phash")).distinct()
 
 
-@query("retractions", "T5 T6", f"""
+@query("retractions", "T5", f"""
 SELECT DISTINCT app_phash, {d.NOW_S} AS close_at FROM connection WHERE valid_to IS NULL AND custkey NOT IN (
   SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2001-01-01')
 """, "connection")
 def _(spark, sf_dir):
-    gone = h.retractions(d.depends_on(spark, sf_dir), _present(spark, sf_dir), d.NOW_S)
-    return gone.filter(F.lit(h.should_reconcile(False, False, 1, False)))
+    return h.retractions(d.depends_on(spark, sf_dir), _present(spark, sf_dir), d.NOW_S)
+
+
+# One batch is whole, the other holds a faulty file, so its gate stays closed.
+BATCH = "SELECT count(*) AS files, count(*) FILTER ({bad}) > 0 AS failed FROM orders"
+
+
+@query("batch_retractions", "T6", f"""
+SELECT batch, app_phash, {d.NOW_S} AS close_at FROM (SELECT DISTINCT app_phash FROM connection WHERE valid_to IS NULL AND custkey NOT IN (
+  SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2001-01-01')) JOIN (
+  SELECT 'whole' AS batch, * FROM ({BATCH.format(bad="WHERE o_orderstatus = 'X'")})
+  UNION ALL SELECT 'faulty', * FROM ({BATCH.format(bad="WHERE o_orderstatus = 'P'")})) ON files > 0 AND NOT failed
+""", "connection")
+def _(spark, sf_dir):
+    """The same history behind the gates of two batches of an order each a file, one of them with errors."""
+    orders = d.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("file"), "o_orderstatus")
+    out = None
+    for batch, bad in (("whole", "X"), ("faulty", "P")):
+        status = batch_status(orders, orders.filter(F.col("o_orderstatus") == bad))
+        gone = h.gated_retractions(d.depends_on(spark, sf_dir), _present(spark, sf_dir), d.NOW_S, status)
+        part = gone.select(F.lit(batch).alias("batch"), "app_phash", "close_at")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query("keyed_upsert", "T1", """

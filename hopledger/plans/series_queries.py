@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hopledger.operators import series as s
-from hopledger.operators.alerting import RULES, Alerting, alerts_as_samples, hold
+from hopledger.operators.alerting import RULES, Alerting, alerts_as_samples, hold, stamp
 from hopledger.operators.health import BY_IF_NAME, BY_IFACE, SERIES_NAMES, PathHealth, alert_ticks, interface_ticks
 from hopledger.operators.mapping import without_direction
 from hopledger.plans import domain as d
@@ -320,12 +320,22 @@ def _(spark, sf_dir):
 
 
 @query("alert_annotations", "A11 F16", f"""
-SELECT app, t_s, 'PathHopDown' AS alertname, 'warning' AS severity,
-       app || ': ' || CAST(value AS BIGINT) || '.0 hop(s) down on declared path' AS summary FROM path_hops_down WHERE value > 0
-""", "path_hops_down")
+SELECT app, service, t_s, 'PathHopDown' AS alertname, 'warning' AS severity,
+       CAST(value AS BIGINT) || ' interface(s) on a path of ' || app || ' are down' AS summary,
+       'an interface on the declared path of ' || app || '/' || service || ' is down' AS description
+FROM path_hops_down WHERE value > 0
+UNION ALL
+SELECT app, service, t_s, 'PathUtilizationHigh', 'warning',
+       app || ' has a hop that is ' || printf('%.4g', round(value * TIE, 6) * 100) || '% full',
+       'the busiest hop on the declared path of ' || app || '/' || service || ' is above 90%'
+FROM path_util_max WHERE value > 0.9
+""", "path_hops_down path_util_max")
 def _(spark, sf_dir):
-    stamped = _alerting(spark, sf_dir).alerts("path_hop_down", HOLD_S)
-    return stamped.select("app", F.expr("t div 1000000").alias("t_s"), "alertname", "severity", "summary")
+    alerting = _alerting(spark, sf_dir)
+    rounded = alerting.alerts("path_utilization_high", HOLD_S).withColumn("value", d.rounded(F.col("value")))
+    full = stamp(rounded, RULES["path_utilization_high"], ["app", "service"])
+    rows = alerting.alerts("path_hop_down", HOLD_S).unionByName(full)
+    return rows.select("app", "service", F.expr("t div 1000000").alias("t_s"), "alertname", "severity", "summary", "description")
 
 
 @query("alerts_as_samples", "A10 H9", f"""

@@ -15,7 +15,7 @@ from hopledger.plans import domain as d
 from hopledger.plans.domain_sql import address, canonical, entity, host, rank, token
 from hopledger.plans.registry import query
 from hopledger.schemas import DECL_READ
-from hopledger.sources.alerts import parse_alerts, render_alerts
+from hopledger.sources.alerts import parse_alerts, rejected_bodies, render_alerts
 from hopledger.sources.declarations import parse_texts, declarations_from_json
 from hopledger.sources.samples import address_inventory, app_seed, attach_targets
 from hopledger.sources.sinks import exposition_lines, stamp_tenant
@@ -136,6 +136,19 @@ def _(spark, sf_dir):
     )
 
 
+@query("alert_rejects", "S9", """
+SELECT alert_id, CASE alert_id % 4 WHEN 1 THEN 'not an array of alerts' WHEN 2 THEN 'malformed' ELSE 'empty' END AS reason
+FROM keyed WHERE alert_id % 4 <> 0
+""", "keyed")
+def _(spark, sf_dir):
+    """Each alert posted as an array, as a bare object, cut off, or not at all; the first alone can be read."""
+    alert = F.to_json(F.struct("labels", "annotations", F.col("alert_id").alias("id")))
+    how = F.col("alert_id") % 4
+    body = F.when(how == 0, F.concat(F.lit("["), alert, F.lit("]"))).when(how == 1, alert).when(how == 2, F.concat(F.lit("["), alert))
+    bodies = d.alerts(spark, sf_dir).select("alert_id", body.alias("value"))
+    return rejected_bodies(bodies).select("alert_id", "reason")
+
+
 @query("render_alerts", "K3", """
 SELECT alert_id, 'event ' || alert_id AS summary, resolved,
        CASE WHEN no_start THEN 'not-a-time' ELSE strftime(to_timestamp(at_s) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') END AS starts_at

@@ -24,9 +24,12 @@ def build_session(app_name: str = "hopledger", master: str | None = None, **conf
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a local one where none is named (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; a local one only for a local master."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -11,9 +11,10 @@ STRING_MAP = "map<string,string>"
 def parse_alerts(bodies: DataFrame, column: str = "value") -> DataFrame:
     """Each element of a JSON array of alerts as a row; the element is kept as text in ``raw``.
 
-    Missing labels or annotations are empty maps. Labels that are no string map are null.
+    Missing labels or annotations are empty maps. Labels that are no string map are null. Bodies that
+    are no array of objects give no row here; ``rejected_bodies`` has them.
     """
-    raw = bodies.select(F.explode(F.from_json(column, "array<string>")).alias("raw"))
+    raw = bodies.filter(_is_alert_array(column)).select(F.explode(F.from_json(column, "array<string>")).alias("raw"))
     empty = F.expr("map()").cast(STRING_MAP)
 
     def string_map(field: str) -> Column:
@@ -27,6 +28,20 @@ def parse_alerts(bodies: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
+def _is_alert_array(column: str) -> Column:
+    """Whether the text is a JSON array of objects only; an empty one counts."""
+    whole = F.try_parse_json(column)
+    kinds = F.transform(F.from_json(column, "array<string>"), lambda e: F.coalesce(F.schema_of_variant(F.try_parse_json(e)), F.lit("")))
+    array = F.coalesce(F.schema_of_variant(whole).startswith("ARRAY"), F.lit(False))
+    return array & F.coalesce(F.forall(kinds, lambda k: k.startswith("OBJECT")), F.lit(False))
+
+
+def rejected_bodies(bodies: DataFrame, column: str = "value") -> DataFrame:
+    """The bodies that cannot be read as alerts, with the reason."""
+    reason = F.when(F.col(column).isNull(), "empty").when(F.try_parse_json(column).isNull(), "malformed").otherwise("not an array of alerts")
+    return bodies.filter(~_is_alert_array(column)).withColumn("reason", reason)
+
+
 def _quoted(text: Column) -> Column:
     """A JSON string literal."""
     wrapped = F.to_json(F.struct(text.alias("a")))

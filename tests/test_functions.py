@@ -119,3 +119,30 @@ def test_label_name_grammar():
     for bad in ("", "1a", "a-b", "a) or (b", "a\n"):
         with pytest.raises(ValueError):
             check_label_name(bad)
+
+
+def test_number_text(spark):
+    from hopledger.functions.text import number_text
+
+    cases = {1.0: "1", 0.0: "0", -2.5: "-2.5", 1e-5: "1e-05", 0.00012: "0.00012", 0.05: "0.05", 123456.789: "123456.789", 1e6: "1e+06",
+             1234567.5: "1.2345675e+06", 1e8: "1e+08", 1.5e-7: "1.5e-07", 1e120: "1e+120", float("inf"): "+Inf", 100.0: "100", 999999.0: "999999"}
+    rows = spark.createDataFrame([(v,) for v in cases], "v double").select("v", number_text(F.col("v")).alias("t")).collect()
+    assert {r.v: r.t for r in rows} == cases
+
+
+def test_nan_is_no_match_and_no_maximum(spark):
+    from hopledger.operators.series import aggregate_by, compare
+
+    nan = float("nan")
+    rows = spark.createDataFrame([("a", 1, nan), ("a", 1, 2.0), ("b", 1, nan)], "app string, t long, value double")
+    assert [r.value for r in compare(rows, ">", 1).collect()] == [2.0]
+    top = {r.app: r.value for r in aggregate_by(rows, "max", ["app"]).collect()}
+    assert top["a"] == 2.0 and top["b"] != top["b"]
+
+
+def test_rejected_bodies(spark):
+    from hopledger.sources.alerts import parse_alerts, rejected_bodies
+
+    bodies = spark.createDataFrame([('[{"labels":{}}]',), ("[]",), ('{"labels":{}}',), ('[{"labels":',), (None,), ("[1]",)], "value string")
+    assert sorted(r.reason for r in rejected_bodies(bodies).collect()) == ["empty", "malformed", *["not an array of alerts"] * 2]
+    assert parse_alerts(bodies).count() == 1

@@ -198,7 +198,7 @@ def test_interface_down_feeds_the_alert_series(spark):
 def test_utilization_alert_renders_a_percentage(spark):
     points = [octets("ifHCOutOctets", 1, 1900), ("ifHighSpeed", 1, [(60 * k, 0.016) for k in range(11)], "")]
     row = alerting(spark, points, [("a", 1, "egress")], start=300, end=300).alerts("path_utilization_high").first()
-    assert row.summary == "a: worst-hop utilization 95%"
+    assert row.summary == "a has a hop that is 95% full"
 
 
 def test_feed_down(spark):

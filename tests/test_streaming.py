@@ -88,6 +88,33 @@ def test_hold_across_batches_equals_batch(spark, tmp_path):
     assert ("x", 600) in resolved and ("y", 360) in resolved
 
 
+def test_hold_judges_ticks_in_order_whatever_batch_brings_them(spark, tmp_path):
+    feed = Feed(spark, tmp_path / "in", "l string, sec bigint")
+    for batch in ([120, 180], [60, 240], [300, 480], [420]):
+        feed.send(*[{"l": "x", "sec": t} for t in batch])
+    feed.send({"l": "z", "sec": 5000})
+    active = feed.stream.withColumn("at", F.timestamp_seconds("sec")).withWatermark("at", "600 seconds").select(
+        "l", "at", (F.col("sec") * MICROS).alias("t"), F.lit(1.0).alias("value"))
+    drain(stream_hold(active, ["l"], 60, 120), tmp_path, "out")
+    rows = spark.read.parquet(str(tmp_path / "out")).filter("l = 'x'").collect()
+    whole = spark.createDataFrame([("x", t * MICROS, 1.0) for t in (60, 120, 180, 240, 300, 420, 480)], "l string, t bigint, value double")
+    want = {(r.t, r.active_since, r.state) for r in hold(whole, ["l"], 60, 120).collect()}
+    assert {(r.t, r.active_since, r.state) for r in rows if r.state != "resolved"} == want
+    assert sorted(r.t // MICROS for r in rows if r.state == "resolved") == [360, 540]
+
+
+def test_rates_take_the_highest_of_samples_at_one_instant(spark, tmp_path):
+    grid = Grid(step=60, range=120, lookback=120)
+    feed = Feed(spark, tmp_path / "in", "k string, sec bigint, value double")
+    points = [{"k": "a", "sec": 30 * n, "value": float(v)} for n in range(1, 30) for v in (10 * n, 10 * n - (n % 3) * 7)]
+    feed.send(*points)
+    feed.send({"k": "z", "sec": 9000, "value": 1.0})
+    drain(stream_rates(feed.stream.withColumn("ts", F.timestamp_seconds("sec")), ["k"], grid, "1 minute"), tmp_path, "out")
+    batch = counter_rate(spark.createDataFrame(points).withColumn("ts", F.timestamp_seconds("sec")), ["k"], grid)
+    want = {r.t: round(r.value, 9) for r in batch.collect()}
+    assert {r.t: round(r.value, 9) for r in spark.read.parquet(str(tmp_path / "out")).filter("k = 'a'").collect()} == want
+
+
 def test_absence_of_a_feed_that_never_sent(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", "feed string")
     expected = spark.createDataFrame([("quiet",), ("busy",)], "feed string")
