@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from hopledger.llm.common import held_out, map_slices, texts_of
 
@@ -73,36 +74,37 @@ def pair_marginals(e: np.ndarray, t: np.ndarray, odds: np.ndarray) -> np.ndarray
     return np.array([[((1 - here) * (1 - up0)).sum(), ((1 - here) * up0).sum()], [(here * (1 - up1)).sum(), (here * up1).sum()]])
 
 
-def toxic_features(toxic: list[set[str]], clean: list[set[str]], support: int = 4) -> set[str]:
-    """Features that explain toxic documents greedily: no clean document in a hundred holds them, and chance would not give them.
+def toxic_features(
+    toxic: list[np.ndarray], clean: list[np.ndarray], name: Callable[[int], str], size: int, support: int = 4,
+) -> set[int]:
+    """Features (numbers below ``size``, each once a document) that explain toxic documents greedily.
 
-    Among features of equal reach the longer wins, and a word before a beginning.
+    No clean document in a hundred holds them, and chance would not give them. Among features of equal reach the longer wins, and a word
+    before a beginning.
     """
-    known = Counter()
-    for words in clean:
-        known.update(words)
+    count_of = lambda docs: np.bincount(np.concatenate(docs), minlength=size) if docs else np.zeros(size, int)
+    count, known = count_of(toxic), count_of(clean)
     base = max(1e-3, min(0.9, len(toxic) / max(1, len(toxic) + len(clean))))
-    count = Counter()
-    for words in toxic:
-        count.update(words)
-    needed = max(support, int(np.ceil(np.log(max(2, len(count))) / -np.log(base))))
-    able = {f for f, n in count.items() if n >= needed and known[f] <= 0.01 * n}
-    left = [words & able for words in toxic]
-    chosen: set[str] = set()
+    needed = max(support, int(np.ceil(np.log(max(2, (count > 0).sum())) / -np.log(base))))
+    able = (count >= needed) & (known <= 0.01 * count)
+    left = [f[able[f]] for f in toxic]
+    chosen: dict[int, str] = {}
     while True:
-        reach = Counter()
-        for words in left:
-            reach.update(words)
-        top = max(reach.values(), default=0)
+        reach = count_of(left)
+        top = int(reach.max(initial=0))
         if top < needed:
-            return chosen
+            return set(chosen)
         # Everything of half the reach at once; a feature within another of the same reach adds nothing and stays out.
-        for f in sorted((f for f, n in reach.items() if 2 * n >= top), key=lambda f: (-reach[f], f[0] == "^", -len(f), f)):
-            inside = [g for g in chosen if g[0] == "^" and f[1:].startswith(g[1:])]
-            shorter = [g for g in chosen if f[0] == "^" and g[1:].startswith(f[1:]) and 10 * reach[f] < 11 * reach.get(g, 0)]
+        names = {int(f): name(int(f)) for f in np.flatnonzero(2 * reach >= top)}
+        for f, text in sorted(names.items(), key=lambda x: (-reach[x[0]], x[1][0] == "^", -len(x[1]), x[1])):
+            inside = any(g[0] == "^" and text[1:].startswith(g[1:]) for g in chosen.values())
+            shorter = text[0] == "^" and any(
+                g[1:].startswith(text[1:]) and 10 * reach[f] < 11 * reach[k] for k, g in chosen.items())
             if not inside and not shorter:
-                chosen.add(f)
-        left = [words for words in left if not words & chosen]
+                chosen[f] = text
+        gone = np.zeros(size, bool)
+        gone[list(chosen)] = True
+        left = [f for f in left if not gone[f].any()]
 
 
 @dataclass
@@ -171,31 +173,42 @@ def in_chains(e: np.ndarray, lengths: list[int], transitions: np.ndarray) -> np.
 def fit_field(texts: list[str], toxic: list[int], steps: int = 80, rate: float = 0.15, decay: float = 1e-4) -> ToxicField:
     """A field fitted on labelled texts (a bounded sample); without both labels everything scores as clean."""
     plain = ToxicField(np.zeros(SLOTS, np.float32), -12.0, np.zeros((2, 2)), np.array([-4.0, 0.5, 0.0]))
-    words = [WORD.findall(t.lower()) for t in texts]
     label = np.array(toxic, int)
     if not (label == 1).any() or not (label == 0).any():
         return plain
-    sets = [{f for w in set(ws) for f in word_features(w)} for ws in words]
-    marks = toxic_features([s for s, y in zip(sets, label, strict=True) if y], [s for s, y in zip(sets, label, strict=True) if not y])
+    # Words as numbers: the sample's words are kept once each.
+    vocabulary: dict[str, int] = {}
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in WORD.findall(t.lower())], np.int32) for t in texts]
+    words = list(vocabulary)
+    if not words:
+        return plain
+    kinds = 1 + len(BEGINNINGS)
+    hashes = np.empty((len(words), kinds), np.uint64)
+    for k, w in enumerate(words):
+        found = [xxh3_64_intdigest(f) for f in word_features(w)]
+        hashes[k] = found + found[:1] * (kinds - len(found))
+    _, first, index = np.unique(hashes.ravel(), return_index=True, return_inverse=True)
+    index = index.reshape(hashes.shape).astype(np.int32)
+    del hashes
+    name = lambda f: word_features(words[first[f] // kinds])[first[f] % kinds]
+    sets = [np.unique(index[np.unique(d)]) for d in docs]
+    marks = toxic_features([s for s, y in zip(sets, label, strict=True) if y], [s for s, y in zip(sets, label, strict=True) if not y], name, first.size)
     del sets
     if not marks:
         return plain
-    hit = lambda w: any(f in marks for f in word_features(w))
-    stems = {f[1:5] for f in marks}
-    tagged: dict[str, tuple[bool, bool]] = {}
-    for ws in words:
-        for w in ws:
-            if w not in tagged:
-                tagged[w] = (hit(w), w[:4] in stems)
+    marked = np.zeros(first.size, bool)
+    marked[list(marks)] = True
+    hit = marked[index].any(axis=1)
+    stems = {name(f)[1:5] for f in marks}
+    stem = np.array([w[:4] in stems for w in words])
     # Chains with a toxic word, chains with a word that begins like one, and as many of the rest, evenly spread.
-    chains = [(ws[k:k + CHAIN], y) for ws, y in zip(words, label, strict=True) for k in range(0, len(ws), CHAIN)]
-    hard = [c for c in chains if any(tagged[w][0] and c[1] or tagged[w][1] for w in c[0])]
-    rest = [c for c in chains if not c[1] or not any(tagged[w][0] for w in c[0])]
+    chains = [(d[k:k + CHAIN], y) for d, y in zip(docs, label.tolist(), strict=True) for k in range(0, len(d), CHAIN)]
+    hard = [c for c in chains if stem[c[0]].any() or c[1] and hit[c[0]].any()]
+    rest = [c for c in chains if not c[1] or not hit[c[0]].any()]
     chosen = hard + rest[:: max(1, len(rest) // max(1000, min(6000, 2 * len(hard))))]
-    vocabulary: dict[str, int] = {}
-    ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for c, _ in chosen for w in c])
-    y = np.array([tagged[w][0] and bool(t) for c, t in chosen for w in c], float)
-    each = [slots_of(w) for w in vocabulary]
+    used_words, ids = np.unique(np.concatenate([c for c, _ in chosen]), return_inverse=True)
+    y = np.concatenate([hit[c] & bool(t) for c, t in chosen]).astype(float)
+    each = [slots_of(words[w]) for w in used_words]
     slot = np.array([s for ss in each for s in ss])
     owner = np.repeat(np.arange(len(each)), [len(ss) for ss in each])
     lengths = [len(c) for c, _ in chosen]
@@ -227,7 +240,10 @@ def fit_field(texts: list[str], toxic: list[int], steps: int = 80, rate: float =
     weights = np.zeros(SLOTS, np.float32)
     weights[used] = w
     model = ToxicField(weights, float(bias), trans, np.zeros(3))
-    x = np.array([summary(p) for p in model.marginals(words)])
+    potential = np.array([model.bias + float(weights[slots_of(w)].sum()) for w in words])
+    lengths = [len(d) for d in docs]
+    p = in_chains(potential[np.concatenate(docs)], lengths, trans)
+    x = np.array([summary(part) for part in np.split(p, np.cumsum(lengths)[:-1])])
     model.score = logistic(x, label)
     return model
 

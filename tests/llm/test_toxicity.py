@@ -48,7 +48,10 @@ def test_chains_do_not_touch_other_documents():
 def test_features_prefer_what_explains_most():
     toxic = [{"=bad", f"=rare{k}"} for k in range(30)] + [{"^vequ", "^vequa", f"=x{k}"} for k in range(20)]
     clean = [{"=good", f"=y{k}"} for k in range(300)]
-    assert toxic_features(toxic, clean) == {"=bad", "^vequa"}
+    names = sorted(set().union(*toxic, *clean))
+    numbered = lambda docs: [np.array([names.index(f) for f in d]) for d in docs]
+    found = toxic_features(numbered(toxic), numbered(clean), names.__getitem__, len(names))
+    assert {names[f] for f in found} == {"=bad", "^vequa"}
 
 
 def test_held_out_documents(spark, documents):
