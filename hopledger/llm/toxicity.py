@@ -26,7 +26,7 @@ CHAIN = 128
 SLOTS = 1 << 18
 BEGINNINGS = (4, 5, 6, 7)
 # Rows of the labelled sample that the field is fitted on, at most and for each label.
-SAMPLE_ROWS = {1: 3000, 0: 5000}
+SAMPLE_ROWS = {1: 2000, 0: 3000}
 WORD = re.compile(r"[^\W\d_]+")
 KNOWN_WORDS = 400_000
 
