@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import html
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopledger.llm.common import map_slices, texts_of
+from hopledger.llm.common import kept, map_slices, texts_of
 
 SHARD_PAGES, LEAST_TOKENS, LEAST_PAGES, COVERED = 128, 6, 3, 0.8
 _RAW = "script|style|noscript|template|iframe|textarea|svg|title|object|select|canvas|audio|video"
@@ -171,33 +172,35 @@ def covered(tokens: np.ndarray, page: np.ndarray, least: int = LEAST_TOKENS, pag
     return np.cumsum(cover[:n]) > 0
 
 
-def settle(pages: list[list[tuple[str, bool, bool]]]) -> list[str]:
-    """Text of each page of one shard from its blocks."""
+def article_of(found: list[tuple[str, bool, bool]]) -> str | None:
+    """Text of the blocks inside an article, None for a page without one."""
+    inside = [text for text, in_article, gone in found if in_article and not gone]
+    return "\n".join(inside) if inside else None
+
+
+def settle(articles: list[str | None], around: list[list[tuple[str, bool]]]) -> list[str]:
+    """Text of each page of one shard from its article, or else from its blocks (text, dropped by markup) that no repeated passage covers."""
     known: dict[str, int] = {}
     tokens, page, owner = [], [], []
-    for p, found in enumerate(pages):
-        for b, (text, inside, _) in enumerate(found):
-            if not inside:
-                ids = [known.setdefault(w, len(known)) for w in text.split()]
-                tokens += ids
-                page += [p] * len(ids)
-                owner += [b] * len(ids)
-    page_ = np.array(page, np.int64)
-    over = covered(np.array(tokens, np.int64), page_)
+    for p, found in enumerate(around):
+        for b, (text, _) in enumerate(found):
+            ids = [known.setdefault(w, len(known)) for w in text.split()]
+            tokens += ids
+            page += [p] * len(ids)
+            owner += [b] * len(ids)
+    over = covered(np.array(tokens, np.int64), np.array(page, np.int64))
     share: dict[tuple[int, int], list[int]] = {}
     for p, b, c in zip(page, owner, over.tolist(), strict=True):
         count = share.setdefault((p, b), [0, 0])
         count[0] += c
         count[1] += 1
     out = []
-    for p, found in enumerate(pages):
-        has_article = any(inside and not gone for _, inside, gone in found)
-        keep = []
-        for b, (text, inside, gone) in enumerate(found):
-            hits, size = share.get((p, b), (0, 1))
-            if inside and not gone or not has_article and not gone and hits < COVERED * size:
-                keep.append(text)
-        out.append("\n".join(keep))
+    for p, (article, found) in enumerate(zip(articles, around, strict=True)):
+        if article is not None:
+            out.append(article)
+            continue
+        counts = (share.get((p, b), (0, 1)) for b in range(len(found)))
+        out.append("\n".join(text for (text, gone), (hits, size) in zip(found, counts, strict=True) if not gone and hits < COVERED * size))
     return out
 
 
@@ -210,26 +213,29 @@ def main_text(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    large = pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > shard_pages).select(
-        F.col("host").alias("h"), F.ceil(F.col("n") / shard_pages).alias("shards"))
-    block = pa.list_(pa.struct([("text", pa.string()), ("inside", pa.bool_()), ("gone", pa.bool_())]))
+    # Written first: the planner then knows its size and sends it to the pages, not the pages to it, as long as it is small.
+    large = kept(pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > shard_pages).select(
+        F.col("host").alias("h"), F.ceil(F.col("n") / shard_pages).alias("shards")))
+    block = pa.list_(pa.struct([("text", pa.string()), ("gone", pa.bool_())]))
 
     def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        # Blocks that markup removes are evidence only; they stay beside the kept ones until the host is settled.
-        found = [[dict(zip(("text", "inside", "gone"), b, strict=True)) for b in blocks(t)] for t in texts_of(batch, "html")]
+        found = [blocks(t) for t in texts_of(batch, "html")]
+        # Article texts only pass through the shuffle, packed; the blocks around them are what the host's streams are made of.
+        articles = [None if (text := article_of(f)) is None else zlib.compress(text.encode(), 1) for f in found]
+        around = [[{"text": text, "gone": gone} for text, inside, gone in f if not inside] for f in found]
         return pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("at"), pa.array(found, block)],
-            ["page_id", "url", "host", "at", "blocks"])
+            [batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("at"), pa.array(articles, pa.binary()),
+             pa.array(around, block)], ["page_id", "url", "host", "at", "article", "around"])
 
     def shard(group: pa.Table) -> pa.Table:
-        found = [[(b["text"], b["inside"], b["gone"]) for b in bs] for bs in group.column("blocks").to_pylist()]
-        texts = settle(found)
+        articles = [None if a is None else zlib.decompress(a).decode() for a in group.column("article").to_pylist()]
+        texts = settle(articles, [[(b["text"], b["gone"]) for b in bs] for bs in group.column("around").to_pylist()])
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()),
                          "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     at = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("shards", F.lit(1)))
     placed = pages.join(large, F.col("host") == F.col("h"), "left").select("page_id", "url", "host", "html", at.alias("at"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    parsed = map_slices(placed, "html", f"page_id {kind}, url string, host string, at long, blocks array<struct<text:string,inside:boolean,gone:boolean>>",
-                        lambda: parse)
+    schema = f"page_id {kind}, url string, host string, at long, article binary, around array<struct<text:string,gone:boolean>>"
+    parsed = map_slices(placed, "html", schema, lambda: parse)
     return parsed.groupBy("host", "at").applyInArrow(shard, f"page_id {kind}, url string, text string, n_chars long")

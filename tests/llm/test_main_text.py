@@ -3,11 +3,12 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from hopledger.llm.main_text import blocks, covered, main_text, settle, suffix_array
+from hopledger.llm.main_text import article_of, blocks, covered, main_text, settle, suffix_array
 
 
 def kept(html):
-    return settle([blocks(html)])[0]
+    found = blocks(html)
+    return settle([article_of(found)], [[(text, gone) for text, inside, gone in found if not inside]])[0]
 
 
 def test_suffix_array_against_sorting():
