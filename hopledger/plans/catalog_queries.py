@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from hopledger.operators import catalog as c
 from hopledger.operators import declare as dc
+from hopledger.operators.load import graph_of, load_batch
+from hopledger.operators.topology import impact_at
 from hopledger.plans import domain as d
 from hopledger.plans.domain_sql import (
     MATCHES, declared_device, declared_ref, entity, resolution, short_name,
@@ -263,3 +265,81 @@ FROM (SELECT *, 'acme' AS customer FROM good_doc WHERE customer_count = 2
 """, "good_doc")
 def _(spark, sf_dir):
     return dc.app_edges(_revised(spark, sf_dir))["consumes"]
+
+
+# Two batches: all declarations first; then those of orders with 1 or 2 as rest of three, the former without dependencies.
+
+fragment("batch_doc", f"""
+SELECT g.*, CAST(split_part(file, '-', 2) AS BIGINT) % 3 AS turn, {entity('application', 'app')} AS app_phash FROM good_doc g
+""", "good_doc")
+fragment("batch_conn", f"""
+SELECT p.*, {entity('connection', 'p.svc_phash', 'p.to_svc_phash', 'p.source', 'p.valid_from')} AS conn_phash
+FROM (SELECT x.*, g.svc_phash, g.app_phash, {entity('appservice', 'x.target')} AS to_svc_phash, v.*
+      FROM doc_path x JOIN batch_doc g ON g.file = x.file
+      JOIN (SELECT 'first' AS source, {d.THEN_S} AS valid_from, {d.NOW_S} AS valid_to
+            UNION ALL SELECT 'second', {d.NOW_S}, NULL) v ON v.source = 'first' OR g.turn = 2) p
+""", "batch_doc", "doc_path")
+fragment("batch_hop", f"""
+SELECT DISTINCT {entity('path', 'c.conn_phash', 'c.path_ix')} AS path_phash, h.seq, h.side AS direction, r.phash AS iface_phash,
+       c.svc_phash, c.valid_from, c.valid_to
+FROM batch_conn c JOIN doc_hop h ON h.file = c.file AND h.dep_ix = c.dep_ix AND h.path_ix = c.path_ix
+JOIN doc_resolved r ON r.device = h.device AND r.ref = h.ref AND r.status = 'ok'
+""", "batch_conn", "doc_hop", "doc_resolved")
+
+
+def _second(spark, sf_dir):
+    """The second batch: only files that loaded before, so it has no errors of its own."""
+    good = dc.loadable(d.declarations(spark, sf_dir), _errors(spark, sf_dir))
+    turn = F.split_part("file", F.lit("-"), F.lit(2)).cast("bigint") % 3
+    emptied = F.when(turn == 1, F.slice("depends_on", 1, 0)).otherwise(F.col("depends_on"))
+    return good.filter(turn > 0).withColumn("depends_on", emptied)
+
+
+def _first_log(spark, sf_dir):
+    return d.stored(spark, sf_dir, "batch_log_1", lambda: load_batch(
+        d.declarations(spark, sf_dir), d.catalog(spark, sf_dir), None, d.THEN_S, "first", _errors(spark, sf_dir)).log)
+
+
+def _loaded(spark, sf_dir):
+    log = d.stored(spark, sf_dir, "batch_log_2", lambda: load_batch(
+        _second(spark, sf_dir), d.catalog(spark, sf_dir), _first_log(spark, sf_dir), d.NOW_S, "second").log)
+    return graph_of(log, d.catalog(spark, sf_dir))
+
+
+@query("load_batch_takes", "D8 T2 T3 T7", f"""
+SELECT DISTINCT app_phash, svc_phash, to_svc_phash, conn_phash, {entity('path', 'conn_phash', 'path_ix')} AS path_phash, source,
+       valid_from, valid_to FROM batch_conn
+""", "batch_conn")
+def _(spark, sf_dir):
+    return _loaded(spark, sf_dir)[0].takes.select(
+        "app_phash", "svc_phash", "to_svc_phash", "conn_phash", "path_phash", "source", "valid_from", "valid_to")
+
+
+@query("load_batch_hops", "D8", "SELECT DISTINCT path_phash, seq, direction, iface_phash FROM batch_hop", "batch_hop")
+def _(spark, sf_dir):
+    return _loaded(spark, sf_dir)[0].hop.select("path_phash", "seq", "direction", "iface_phash")
+
+
+@query("load_batch_impact", "Q2 D8", f"""
+SELECT DISTINCT h.iface_phash, g.app, g.runs_as AS service, g.owner, coalesce(k.customer, '') AS customer, g.criticality
+FROM batch_hop h JOIN batch_doc g ON g.svc_phash = h.svc_phash AND g.dep_count > 0
+LEFT JOIN (SELECT svc_phash, 'acme' AS customer FROM batch_doc WHERE customer_count = 2 AND dep_count > 0
+           UNION SELECT svc_phash, 'cust-' || (part % 10) FROM batch_doc WHERE customer_count = 2 AND dep_count > 0) k
+  ON k.svc_phash = g.svc_phash
+WHERE {d.NOW_S} - 1 >= h.valid_from AND (h.valid_to IS NULL OR {d.NOW_S} - 1 < h.valid_to)
+""", "batch_hop batch_doc")
+def _(spark, sf_dir):
+    return impact_at(_loaded(spark, sf_dir)[0], d.NOW_S - 1)
+
+
+@query("load_batch_retractions", "T5 T6", f"""
+SELECT app_phash, {d.NOW_S} AS close_at, 'open' AS gate FROM batch_doc WHERE dep_count > 0 AND turn = 0
+""", "batch_doc")
+def _(spark, sf_dir):
+    """The second batch retracts what it leaves out; the same batch with its faulty files retracts nothing."""
+    log, whole = _first_log(spark, sf_dir), d.declarations(spark, sf_dir)
+    turn = F.split_part("file", F.lit("-"), F.lit(2)).cast("bigint") % 3
+    loads = load_batch(_second(spark, sf_dir), d.catalog(spark, sf_dir), log, d.NOW_S, "second")
+    fails = load_batch(whole.filter(turn > 0), d.catalog(spark, sf_dir), log, d.NOW_S, "second", _errors(spark, sf_dir))
+    gate = lambda rows, name: rows.select("app_phash", "close_at", F.lit(name).alias("gate"))
+    return gate(loads.retracted, "open").unionByName(gate(fails.retracted, "closed"))
