@@ -215,22 +215,22 @@ def resolve_refs(refs: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def suggestions(catalog: DataFrame) -> DataFrame:
-    """Per device the first eight metric names in order, repeats kept, as rows with a rank."""
+def suggestions(catalog: DataFrame, most: int = SUGGESTIONS) -> DataFrame:
+    """Per device the first ``most`` metric names in order, repeats kept, as rows with a rank."""
     in_order = Window.partitionBy("device").orderBy("metric_if_name", "phash")
-    # the rank filter runs before the shuffle too: at most eight rows per device leave a task
+    # the rank filter runs before the shuffle too: at most that many rows per device leave a task
     return (
         catalog.withColumn("device", normalize_token(F.col("device")))
         .withColumn("rank", F.row_number().over(in_order))
-        .filter(F.col("rank") <= SUGGESTIONS)
+        .filter(F.col("rank") <= most)
         .select("device", "rank", "metric_if_name")
     )
 
 
-def suggestion_lists(catalog: DataFrame) -> DataFrame:
-    """C9 as one array of at most eight names per device."""
+def suggestion_lists(catalog: DataFrame, most: int = SUGGESTIONS) -> DataFrame:
+    """C9 as one array of at most ``most`` names per device."""
     ranked = F.array_sort(F.collect_list(F.struct("rank", "metric_if_name")))
-    return suggestions(catalog).groupBy("device").agg(
+    return suggestions(catalog, most).groupBy("device").agg(
         F.transform(ranked, lambda s: s["metric_if_name"]).alias("suggestions")
     )
 

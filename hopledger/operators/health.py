@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hopledger.operators.mapping import without_direction
 from hopledger.operators.series import (
-    SERIES, Grid, aggregate_by, count_by, fan_out, instant_vector, range_facts, sum_or_either, with_rate,
+    SERIES, aggregate_by, count_by, counter_rate, fan_out, Grid, instant_vector, range_facts, sum_or_either, with_rate,
 )
 
 BY_IF_NAME = ["instance", "if_name"]
@@ -79,6 +79,17 @@ def interface_ticks(samples: DataFrame, columns: list[str], keys: list[str], gri
     return valued.groupBy(*keys, "blk", "t").agg(*[one(m).alias(c) for c, m in wanted.items()]).drop("blk")
 
 
+def tick_conflicts(samples: DataFrame, columns: list[str], keys: list[str], grid: Grid) -> DataFrame:
+    """What ``interface_ticks`` leaves null: (keys, t, column, series) with more than one series of a metric under the join key."""
+    out = None
+    for column in columns:
+        rows = samples.filter(F.col("metric") == (RATES | GAUGES)[column])
+        series = (counter_rate if column in RATES else instant_vector)(rows, SERIES, grid)
+        part = series.groupBy(*keys, "t").agg(F.count(F.lit(1)).alias("series")).filter("series > 1").withColumn("column", F.lit(column))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def alert_ticks(samples: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
     """Firing alerts per (join keys, tick), counted before any fan-out."""
     firing = samples.filter((F.col("metric") == "ALERTS") & (F.col("alertstate") == "firing"))
@@ -101,6 +112,10 @@ class PathHealth:
     def __post_init__(self) -> None:
         self.keys = self.keys or BY_IF_NAME
 
+    def conflicts(self, *columns: str) -> DataFrame:
+        """Interfaces and ticks that the series leave out, as two series share their join key."""
+        return tick_conflicts(self.samples, list(columns or RATES | GAUGES), self.keys, self.grid)
+
     def _ticks(self, *columns: str) -> DataFrame:
         return interface_ticks(self.samples, list(columns), self.keys, self.grid)
 

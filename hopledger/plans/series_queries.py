@@ -213,6 +213,15 @@ def _(spark, sf_dir):
                         d.rounded(F.col("out_errors")).alias("out_errors"), "status")
 
 
+@query("series_conflicts", "V8", """
+SELECT instance, t_s, 'status' AS "column", count(*) AS series FROM instants WHERE metric = 'ifOperStatus' GROUP BY ALL HAVING count(*) > 1
+""", "instants")
+def _(spark, sf_dir):
+    """Joined on the instance alone, its interfaces are in each other's way: all such ticks are listed."""
+    found = d.health(spark, sf_dir, ["instance"]).conflicts("status")
+    return found.select("instance", F.expr("t div 1000000").alias("t_s"), "column", "series")
+
+
 # Alert rules. Days stand in for minutes: holds are scaled to the step of the grid.
 
 HOLD_S = 2 * d.DAY
