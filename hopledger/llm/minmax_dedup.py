@@ -9,7 +9,8 @@ probability of 3e-7. Texts with equal shingle sets are one class; only class rep
    against all members of other components, so no candidate link between components is left out.
 
 Links are confirmed on the full sets of words themselves. One bit per signature value (192 bits) drops candidates that are too far off: at
-0.85, 14 bits are expected to differ (deviation 3.7); pairs beyond 40 are not checked (probability below 1e-9).
+0.85, 14 bits are expected to differ (deviation 3.7); pairs beyond 40 are not checked (probability below 1e-9). The last step compares a
+longer signature too, within the join, so that pairs well below the similarity are not even listed (3e-7 for a pair at 0.85).
 """
 
 from __future__ import annotations
@@ -31,10 +32,14 @@ PERMUTATIONS, ROWS = 96, 6
 BANDS = 2 * PERMUTATIONS // ROWS
 FAR = 40
 ROUNDS, TRIES = 2, 2
+# The finer sketch of the last step: two bits of 1024 values, compared in the join. At 0.85, 115 values are expected to differ (deviation 10).
+FINE_PERMUTATIONS, FINE_FAR = 512, 166
 _WORDS = re.compile(WORD)
 _SEED = np.random.default_rng(20)
 _A = _SEED.integers(1, 1 << 31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _SEED.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
+_FINE_A = _SEED.integers(1, 1 << 31, FINE_PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1)
+_FINE_B = _SEED.integers(0, 1 << 32, FINE_PERMUTATIONS, np.uint32)
 _BAND = _SEED.integers(1, 1 << 62, (1, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _SEED.integers(1, 1 << 62, 16, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -71,12 +76,13 @@ def shingle_hashes(words: list[str], known: WordHashes, size: int = SHINGLE) ->
     return np.unique(total)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Least and greatest value under each permutation: 2 * PERMUTATIONS numbers of 32 bits."""
+def signature(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> np.ndarray:
+    """Least and greatest value under each permutation: two numbers of 32 bits for each."""
     small = (shingles >> np.uint64(32)).astype(np.uint32)
-    low, high = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32), np.zeros(PERMUTATIONS, np.uint32)
-    for at in range(0, small.size, 512):
-        values = small[at:at + 512] * _A[:, None] + _B[:, None]
+    low, high = np.full(a.size, 0xFFFFFFFF, np.uint32), np.zeros(a.size, np.uint32)
+    step = 50_000 // a.size
+    for at in range(0, small.size, step):
+        values = small[at:at + step] * a[:, None] + b[:, None]
         values ^= values >> np.uint32(15)
         np.minimum(low, values.min(axis=1), out=low)
         np.maximum(high, values.max(axis=1), out=high)
@@ -175,19 +181,55 @@ def _round(members: DataFrame, bits: DataFrame, label: DataFrame, number: int) -
     return best.select(F.least("id", "best.leader").alias("a"), F.greatest("id", "best.leader").alias("b")).distinct()
 
 
-def _rest(members: DataFrame, bits: DataFrame, label: DataFrame) -> DataFrame:
-    """All candidate pairs between components that share a bucket and are not far apart."""
-    named = members.join(label, "id").select("key", "id", "component")
+def fine_sketches(texts: DataFrame) -> DataFrame:
+    """(id, fine): two bits of each value of a longer signature, as longs."""
+
+    def make():
+        known = WordHashes()
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if len(known) > 500_000:
+                known.clear()
+            out = []
+            for text in texts_of(batch):
+                values = _mixed(signature(shingle_hashes(words_of(text), known), _FINE_A, _FINE_B).astype(np.uint64))
+                two = np.stack([values & np.uint64(1), values >> np.uint64(1) & np.uint64(1)], axis=1).astype(np.uint8)
+                out.append(np.packbits(two.ravel()).view(np.int64))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], ["id", "fine"])
+
+        return work
+
+    return map_slices(texts.select("doc_id", "text"), "text", "id long, fine array<long>", make)
+
+
+def _fine_differing(left: str, right: str):
+    """Number of two-bit cells that differ."""
+    even = F.lit(0x5555555555555555)
+    cell = lambda x, y: x.bitwiseXOR(y)
+    count = lambda x: F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(even))
+    return F.aggregate(F.zip_with(left, right, cell), F.lit(0), lambda total, x: total + count(x))
+
+
+def _rest(members: DataFrame, bits: DataFrame, bands: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
+    """All candidate pairs between components that share a bucket and are not far apart by the finer sketch.
+
+    A pair that shares several buckets is listed in the first of them only.
+    """
+    named = members.join(label, "id").select("key", "band", "id", "component")
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max(F.struct("n", "component")).alias("main")).filter("kinds > 1")
     named = kept(named.join(mixed.select("key", F.col("main.component").alias("main")), "key").join(
         bits.toDF("id", "b0", "b1", "b2"), "id"))
+    fine = kept(fine_sketches(texts.join(named.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")))
+    named = named.join(fine, "id").join(bands, "id")
     minor = named.filter("component <> main").select(
-        "key", F.col("id").alias("other"), F.col("component").alias("kind"), *(F.col(f"b{k}").alias(f"t{k}") for k in range(3)))
-    near = (F.col("component") != F.col("kind")) & (_differing("b", "t") <= FAR)
+        "key", F.col("id").alias("other"), F.col("component").alias("kind"), F.col("fine").alias("fine_"), F.col("bands").alias("bands_"),
+        *(F.col(f"b{k}").alias(f"t{k}") for k in range(3)))
+    near = (F.col("component") != F.col("kind")) & (_differing("b", "t") <= FAR) & (_fine_differing("fine", "fine_") <= FINE_FAR)
+    first = F.array_position(F.zip_with("bands", "bands_", lambda x, y: x == y), True) == F.col("band") + 1
     # A pair of two minor members would come twice; the larger id leads then.
     once = (F.col("component") == F.col("main")) | (F.col("id") < F.col("other"))
-    return named.join(minor, (named.key == minor.key) & near & once).select(
+    return named.join(minor.withColumnRenamed("key", "bucket"), (F.col("key") == F.col("bucket")) & near & once & first).select(
         F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
@@ -204,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     class_of = kept(sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "b0", "b1", "b2")).alias("r")).select("set_key", "r.*"))
     bits = class_of.select("doc_id", "b0", "b1", "b2").distinct()
 
-    keys = class_of.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    keys = class_of.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     members = kept(keys.join(shared, "key"))
     label = kept(members.select("id").distinct().withColumn("component", F.col("id")))
@@ -212,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     for number in range(ROUNDS):
         links = kept(confirmed(kept(_round(members, bits, label, number)), texts, percent))
         label = _merged(label, links)
-    links = kept(confirmed(kept(_rest(members, bits, label)), texts, percent))
+    links = kept(confirmed(kept(_rest(members, bits, class_of.select(F.col("doc_id").alias("id"), "bands"), label, texts)), texts, percent))
     label = _merged(label, links)
 
     copies = sets.select(F.col("doc_id").alias("id"), "set_key").join(class_of.select("set_key", F.col("doc_id").alias("rep")), "set_key")
