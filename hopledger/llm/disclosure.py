@@ -281,7 +281,9 @@ def find(docs: DataFrame, **limits) -> DataFrame:
         found.filter("row IS NOT NULL").select("row", F.explode("hits").alias("h")).select("row", "h.*").distinct()
         .join(risky, "term").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("start", "end", "action"))).alias("terms"))
     )
-    joined = found.drop("hits").join(places, "row", "left")
+    # Rows without a likely term have no key; they stay out of the join, where they would all meet in one task.
+    plain = found.filter("row IS NULL").drop("hits").withColumn("terms", F.lit(None).cast(places.schema["terms"].dataType))
+    joined = found.filter("row IS NOT NULL").drop("hits").join(places, "row", "left").unionByName(plain)
     order = {k: i for i, k in enumerate((*KINDS, "term"))}
     base = F.transform(
         F.filter(F.split("base", ","), lambda s: s != ""),
