@@ -21,7 +21,7 @@ from hopledger.llm.common import map_slices, texts_of
 
 NO_PAIR = np.int32(2**31 - 1)
 # Pieces known to a task; beyond this many characters the memory of pieces is emptied.
-CACHE_CHARS = 24_000_000
+CACHE_CHARS = 10_000_000
 # Longer pieces are merged with a heap: one merge a round would take time with the square of the length.
 MATRIX_BYTES = 512
 
@@ -180,7 +180,7 @@ class BytePairs:
         return [[known[piece] for piece in pieces] for pieces in split]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(path_or_key: str, pattern: str, shipped) -> BytePairs:
     return BytePairs(shipped.value, pattern)
 

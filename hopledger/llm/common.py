@@ -15,7 +15,7 @@ from hopledger.session import checkpoint_folder
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER_ASCII = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 # Characters of text that a task holds at once beside the Arrow batch it was given.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -162,7 +162,7 @@ class TermFilter:
         return not self.bits.any()
 
     def passed(self, words: set[str]) -> list[str]:
-        if len(self.known) > 1_000_000:
+        if len(self.known) > 300_000:
             self.known = {}
         known, out, size = self.known, [], 32 * self.bits.size
         for w in words:

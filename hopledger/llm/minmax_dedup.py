@@ -111,7 +111,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sizes, keys, bands, bits = [], [], [], []
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             for text in texts_of(batch):
                 shingles = shingle_hashes(words_of(text), known)
@@ -188,7 +188,7 @@ def fine_sketches(texts: DataFrame) -> DataFrame:
         known = WordHashes()
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            if len(known) > 500_000:
+            if len(known) > 200_000:
                 known.clear()
             out = []
             for text in texts_of(batch):
