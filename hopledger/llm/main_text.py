@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from hopledger.llm.common import kept, map_slices, texts_of
 
 SHARD_PAGES, LEAST_TOKENS, LEAST_PAGES, COVERED = 128, 6, 3, 0.8
-_RAW = "script|style|noscript|template|iframe|textarea|svg|title|object|select|canvas|audio|video"
+# Text elements, which hold no markup and run to the end of the page when unclosed.
+_RAW = "script|style|textarea|title"
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,8192}\"|'[^']{0,8192}')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>",
     re.S | re.I,
 )
@@ -37,6 +38,8 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head"
     " header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+# Without text of the page between their tags; one that is never closed drops nothing.
+EMBEDDED = frozenset("noscript template iframe svg object select canvas audio video".split())
 DROPPED = frozenset("head nav footer aside form menu button dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 MARKS = frozenset(
@@ -69,6 +72,25 @@ def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+def _embedded(tags: list[re.Match[str]]) -> dict[int, int]:
+    """Start of each embedded element -> end of its own end tag; elements that lack one, or whose parent ends first, are not in it."""
+    found: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    for m in tags:
+        tag = (m.group(3) or m.group(6) or "").lower()
+        if tag not in EMBEDDED and tag not in BLOCK:
+            continue
+        if m.group(2) or m.group(5):
+            place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
+            if place is not None:
+                if tag in EMBEDDED:
+                    found[stack[place][1]] = m.end()
+                del stack[place:]
+        elif tag not in VOID and not (tag == "svg" and m.group(0).endswith("/>")):
+            stack.append((tag, m.start()))
+    return found
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
     """(text, in article, dropped by markup) of every block with text, in page order."""
     out: list[tuple[str, bool, bool]] = []
@@ -84,10 +106,14 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             if text:
                 out.append((text, in_article, dropped))
 
-    for m in _TAG.finditer(page):
+    tags = list(_TAG.finditer(page))
+    embedded = _embedded(tags) if any((m.group(3) or m.group(6) or "").lower() in EMBEDDED for m in tags) else {}
+    for m in tags:
+        if m.start() < at:
+            continue
         if m.start() > at:
             parts.append(page[at:m.start()])
-        at = m.end()
+        at = embedded.get(m.start(), m.end())
         tag = (m.group(3) or m.group(6) or "").lower()
         if not tag:
             continue
@@ -113,7 +139,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     in_article, dropped = stack[-1][1:] if stack else (False, False)
                 elif name in _SCOPE:
                     break
-        if tag in VOID:
+        if tag in VOID or tag in EMBEDDED:
             continue
         is_main = tag in ("article", "main")
         inner = in_article or is_main and (not dropped or all(not d or t == "form" for t, _, d in stack))

@@ -55,6 +55,16 @@ def test_broken_markup_does_not_lose_text():
     assert kept("<script>never closed <p>x</p>") == "" and kept("") == ""
 
 
+def test_custom_and_unclosed_elements_do_not_lose_text():
+    for name in ("svg-icon", "video-player", "audio-player", "title-bar", "select-box"):
+        assert kept(f"<article><p>a</p><{name} x=y></{name}><p>rest</p></article>") == "a\nrest"
+    for name in ("video", "object", "select", "noscript", "svg", "audio"):
+        assert kept(f"<article><p>a</p><{name}><p>rest</p></article><nav>menu</nav>") == "a\nrest"
+        assert kept(f"<article><p>a</p><{name} x=y>gone<b>too</b></{name}><p>rest</p></article>") == "a\nrest"
+    assert kept("<article><p>a<svg/>b</p><svg><g>x</g></svg></article>") == "ab"
+    assert kept("<article><p>a</p><style>never closed <p>x</p></article>") == "a"
+
+
 def test_boilerplate_without_an_article_is_found_by_repetition(spark):
     menu, foot = "home news sport weather about us contact", "all rights reserved by the owners of this site"
     rows = [(k, f"https://h.example/{k}", f"<div>{menu}</div><div>text number {k} is unlike any other text {k * 7}</div><div>{foot}</div>")
