@@ -1,10 +1,11 @@
-"""Main text of pages: markup settles what it can, a suffix array over the pages of a host settles the rest.
+"""Main text of pages: markup drops what it names, a suffix array over the pages of a host decides every other block.
 
-Markup decides a block if it stands inside an article (kept) or inside a menu, notice, form or the like (removed). Pages without an
-article, and everything around articles, form the page's token stream. The streams of a host's pages are concatenated, their suffix array
-puts equal passages beside each other, and a passage of ``LEAST_TOKENS`` tokens on ``LEAST_PAGES`` pages is boilerplate: a
-block that such passages cover is removed, what is unique stays. Text inside an article is never removed for being repeated, as copies of an
-article are repeated just like menus. Hosts are cut into shards of at most about ``SHARD_PAGES`` pages, so no task holds a whole large host.
+Markup drops a block inside a menu, notice, form or the like. All other blocks, inside and outside articles, are decided by repetition: the
+texts of a host's pages are concatenated, their suffix array puts equal passages beside each other, and a passage of ``LEAST_TOKENS`` tokens
+in ``LEAST_PAGES`` different texts is boilerplate. A block that such passages cover is removed, what is unique stays. Inside articles
+different article texts are counted and outside them different page texts, so copies of an article or of a page count once and stay; an
+article of which more than half is repeated is a copy with small changes and stays too. Hosts are cut into shards of at most about
+``SHARD_PAGES`` pages, so no task holds a whole large host.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from hopledger.llm.common import kept, map_slices, texts_of
 
@@ -171,63 +173,111 @@ def suffix_array(tokens: np.ndarray) -> np.ndarray:
     return order
 
 
-def covered(tokens: np.ndarray, page: np.ndarray, least: int = LEAST_TOKENS, pages: int = LEAST_PAGES) -> np.ndarray:
-    """Which tokens lie in a passage of ``least`` tokens that occurs on ``pages`` distinct pages.
-
-    Neighbours in the suffix array with that many equal tokens form a class; a class over enough pages covers its places.
-    """
+def passages(tokens: np.ndarray, page: np.ndarray, least: int = LEAST_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of all passages of ``least`` tokens within a page, and their classes: equal passages are neighbours in the suffix array."""
     n = tokens.size
-    cover = np.zeros(n + 1, np.int64)
     if n < least:
-        return cover[:n] > 0
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     order = suffix_array(tokens)
     whole = order + least <= n
     whole[whole] &= page[order[whole]] == page[order[whole] + least - 1]
     order = order[whole]
-    if not order.size:
-        return cover[:n] > 0
-    same = np.ones(order.size - 1, bool)
+    same = np.ones(max(order.size - 1, 0), bool)
     for k in range(least):
         same &= tokens[order[1:] + k] == tokens[order[:-1] + k]
-    group = np.concatenate([[0], np.cumsum(~same)])
-    distinct = np.unique(np.stack([group, page[order]]), axis=1)[0]
-    wide = np.bincount(distinct, minlength=group[-1] + 1) >= pages
-    starts = order[wide[group]]
+    return order, np.concatenate([[0], np.cumsum(~same)])[:order.size]
+
+
+def owners(starts: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Number of distinct owners of each class of passages."""
+    if not starts.size:
+        return np.empty(0, np.int64)
+    return np.bincount(np.unique(np.stack([group, owner[starts]]), axis=1)[0], minlength=group[-1] + 1)
+
+
+def spread(starts: np.ndarray, n: int, least: int = LEAST_TOKENS) -> np.ndarray:
+    """Which of ``n`` tokens lie in a passage with one of the starts."""
+    cover = np.zeros(n + 1, np.int64)
     np.add.at(cover, starts, 1)
     np.add.at(cover, starts + least, -1)
     return np.cumsum(cover[:n]) > 0
 
 
+def covered(tokens: np.ndarray, page: np.ndarray, least: int = LEAST_TOKENS, pages: int = LEAST_PAGES, owner: np.ndarray | None = None) -> np.ndarray:
+    """Which tokens lie in a passage of ``least`` tokens that occurs with ``pages`` distinct owners, which are the pages if not given."""
+    starts, group = passages(tokens, page, least)
+    wide = owners(starts, group, page if owner is None else owner) >= pages
+    return spread(starts[wide[group]], tokens.size, least)
+
+
 def article_of(found: list[tuple[str, bool, bool]]) -> str | None:
     """Text of the blocks inside an article, None for a page without one."""
     inside = [text for text, in_article, gone in found if in_article and not gone]
     return "\n".join(inside) if inside else None
 
 
+def text_keys(found: list[tuple[str, bool, bool]]) -> tuple[int, int]:
+    """64-bit hashes of the text of a page without what markup drops, and of its article."""
+    return tuple(xxh3_64_intdigest(t.encode()) for t in ("\n".join(t for t, _, gone in found if not gone), article_of(found) or ""))
+
+
+class Streams:
+    """Tokens of the pages of one shard; blocks inside and outside articles are streams of their own with no token in common."""
+
+    def __init__(self, pages: list[list[tuple[str, bool, bool]]]) -> None:
+        self.pages = pages
+        self.words: dict[str, int] = {}
+        keys: dict[tuple[int, int], int] = {}
+        tokens, stream, owner, block = [], [], [], []
+        blocks_before = np.cumsum([0, *map(len, pages)]).tolist()
+        for p, found in enumerate(pages):
+            own = [keys.setdefault((kind, key), len(keys)) for kind, key in enumerate(text_keys(found))]
+            for kind in (0, 1):
+                for b, (text, inside, _) in enumerate(found, blocks_before[p]):
+                    if inside == kind:
+                        ids = [2 * self.words.setdefault(w, len(self.words)) + kind for w in text.split()]
+                        tokens += ids
+                        stream += [2 * p + kind] * len(ids)
+                        owner += [own[kind]] * len(ids)
+                        block += [b] * len(ids)
+        self.tokens, self.stream, self.owner, self.block = (np.array(x, np.int64) for x in (tokens, stream, owner, block))
+        self.n_blocks = blocks_before[-1]
+
+    def texts(self, over: np.ndarray) -> list[str]:
+        """Text of each page from its blocks that markup does not drop and covered tokens do not fill."""
+        size = np.bincount(self.block, minlength=self.n_blocks)
+        full = np.bincount(self.block[over], minlength=self.n_blocks) >= COVERED * np.maximum(size, 1)
+        out, at = [], 0
+        for found in self.pages:
+            repeated = full[at:at + len(found)].tolist()
+            sizes = size[at:at + len(found)].tolist()
+            at += len(found)
+            inside = sum(n for n, (_, i, _) in zip(sizes, found, strict=True) if i)
+            copied = 2 * sum(n for n, r, (_, i, _) in zip(sizes, repeated, found, strict=True) if r and i) > inside
+            out.append("\n".join(t for (t, i, gone), r in zip(found, repeated, strict=True) if not gone and (not r or i and copied)))
+        return out
+
+
+def settle_pages(pages: list[list[tuple[str, bool, bool]]]) -> list[str]:
+    """Text of each page of one shard."""
+    streams = Streams(pages)
+    return streams.texts(covered(streams.tokens, streams.stream, owner=streams.owner))
+
+
 def settle(articles: list[str | None], around: list[list[tuple[str, bool]]]) -> list[str]:
-    """Text of each page of one shard from its article, or else from its blocks (text, dropped by markup) that no repeated passage covers."""
-    known: dict[str, int] = {}
-    tokens, page, owner = [], [], []
-    for p, found in enumerate(around):
-        for b, (text, _) in enumerate(found):
-            ids = [known.setdefault(w, len(known)) for w in text.split()]
-            tokens += ids
-            page += [p] * len(ids)
-            owner += [b] * len(ids)
-    over = covered(np.array(tokens, np.int64), np.array(page, np.int64))
-    share: dict[tuple[int, int], list[int]] = {}
-    for p, b, c in zip(page, owner, over.tolist(), strict=True):
-        count = share.setdefault((p, b), [0, 0])
-        count[0] += c
-        count[1] += 1
-    out = []
-    for p, (article, found) in enumerate(zip(articles, around, strict=True)):
-        if article is not None:
-            out.append(article)
-            continue
-        counts = (share.get((p, b), (0, 1)) for b in range(len(found)))
-        out.append("\n".join(text for (text, gone), (hits, size) in zip(found, counts, strict=True) if not gone and hits < COVERED * size))
-    return out
+    """Text of each page of one shard, given as the text of its article and the blocks (text, dropped by markup) around it."""
+    return settle_pages([[(t, True, False) for t in (article or "").split("\n") if t] + [(t, False, gone) for t, gone in found]
+                         for article, found in zip(articles, around, strict=True)])
+
+
+def _packed(found: list[tuple[str, bool, bool]]) -> bytes:
+    # No block has a line feed.
+    return zlib.compress("\n".join(f"{inside + 2 * gone}{text}" for text, inside, gone in found).encode(), 1)
+
+
+def _unpacked(packed: bytes) -> list[tuple[str, bool, bool]]:
+    lines = zlib.decompress(packed).decode()
+    return [(line[1:], line[0] in "13", line[0] in "23") for line in lines.split("\n")] if lines else []
 
 
 def main_text(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
@@ -242,26 +292,21 @@ def main_text(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     # Written first: the planner then knows its size and sends it to the pages, not the pages to it, as long as it is small.
     large = kept(pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > shard_pages).select(
         F.col("host").alias("h"), F.ceil(F.col("n") / shard_pages).alias("shards")))
-    block = pa.list_(pa.struct([("text", pa.string()), ("gone", pa.bool_())]))
 
     def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [blocks(t) for t in texts_of(batch, "html")]
-        # Article texts only pass through the shuffle, packed; the blocks around them are what the host's streams are made of.
-        articles = [None if (text := article_of(f)) is None else zlib.compress(text.encode(), 1) for f in found]
-        around = [[{"text": text, "gone": gone} for text, inside, gone in f if not inside] for f in found]
+        packed = [_packed(blocks(t)) for t in texts_of(batch, "html")]
         return pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("at"), pa.array(articles, pa.binary()),
-             pa.array(around, block)], ["page_id", "url", "host", "at", "article", "around"])
+            [batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("at"), pa.array(packed, pa.binary())],
+            ["page_id", "url", "host", "at", "blocks"])
 
     def shard(group: pa.Table) -> pa.Table:
-        articles = [None if a is None else zlib.decompress(a).decode() for a in group.column("article").to_pylist()]
-        texts = settle(articles, [[(b["text"], b["gone"]) for b in bs] for bs in group.column("around").to_pylist()])
+        texts = settle_pages([_unpacked(b) for b in group.column("blocks").to_pylist()])
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()),
                          "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
     at = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("shards", F.lit(1)))
     placed = pages.join(large, F.col("host") == F.col("h"), "left").select("page_id", "url", "host", "html", at.alias("at"))
     kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, at long, article binary, around array<struct<text:string,gone:boolean>>"
+    schema = f"page_id {kind}, url string, host string, at long, blocks binary"
     parsed = map_slices(placed, "html", schema, lambda: parse)
     return parsed.groupBy("host", "at").applyInArrow(shard, f"page_id {kind}, url string, text string, n_chars long")

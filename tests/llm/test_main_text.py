@@ -82,6 +82,22 @@ def test_copies_of_an_article_stay(spark):
     assert {r.text for r in main_text(df).collect()} == {"the very same article on many pages of one host"}
 
 
+def test_repetition_decides_around_and_inside_articles(spark):
+    menu, notice = "home news sport weather about us contact", "please support our work with a small gift today"
+    body = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    html = lambda k: (f"<div>{menu}</div><div>{body(k)}</div>"
+                      f"<article class=teaser><p>{body(k + 1000)}</p><p>{notice}</p></article><div>alone {k}</div>")
+    rows = [(k, f"https://h.example/{k}", html(k)) for k in range(9)]
+    # Copies of one page, and of one article with small changes, are not boilerplate.
+    rows += [(100 + k, "https://h.example/c", f"<div>{body(5000)}</div>") for k in range(9)]
+    rows += [(200 + k, "https://h.example/d", f"<article><p>{body(6000)}</p><p>version {k}</p></article>") for k in range(9)]
+    found = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(9):
+        assert found[k] == f"{body(k)}\n{body(k + 1000)}\nalone {k}"
+        assert found[100 + k] == body(5000)
+        assert found[200 + k] == f"{body(6000)}\nversion {k}"
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "", ""), (None, "https://a", "<p>x"), (4, "https://a", "<p>" + "long words " * 50_000), (4, "https://a", "<p>y</p>"),
             (4, "https://a", "<p>y</p>")]
