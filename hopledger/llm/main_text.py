@@ -4,8 +4,12 @@ Markup drops a block inside a menu, notice, form or the like. All other blocks,
 texts of a host's pages are concatenated, their suffix array puts equal passages beside each other, and a passage of ``LEAST_TOKENS`` tokens
 in ``LEAST_PAGES`` different texts is boilerplate. A block that such passages cover is removed, what is unique stays. Inside articles
 different article texts are counted and outside them different page texts, so copies of an article or of a page count once and stay; an
-article of which more than half is repeated is a copy with small changes and stays too. Hosts are cut into shards of at most about
-``SHARD_PAGES`` pages, so no task holds a whole large host.
+article of which more than half is repeated is a copy with small changes and stays too.
+
+Hosts are cut into shards of at most about ``SHARD_PAGES`` pages, so no task holds a whole large host, but passages are counted over the host:
+each shard sends a hash and the number of different texts of each class of its suffix array, parts of the hash space add them up and send back
+what is repeated. Hashes are so long that for a shard of 131,072 passages 5e-10 of the passages count as repeated by chance, whatever
+the size of the host.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from xxhash import xxh3_64_intdigest
 from hopledger.llm.common import kept, map_slices, texts_of
 
 SHARD_PAGES, LEAST_TOKENS, LEAST_PAGES, COVERED = 128, 6, 3, 0.8
+# Length of a passage's hash on a host of one shard, a bit more for each doubling; bytes of pages whose passages one task adds up.
+HASH_BITS, PART_BYTES = 32, 8 << 20
 # Text elements, which hold no markup and run to the end of the page when unclosed.
 _RAW = "script|style|textarea|title"
 _TAG = re.compile(
@@ -189,10 +195,11 @@ def passages(tokens: np.ndarray, page: np.ndarray, least: int = LEAST_TOKENS) ->
 
 
 def owners(starts: np.ndarray, group: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Number of distinct owners of each class of passages."""
+    """Number of distinct owners of each class of passages; negative ones do not count."""
     if not starts.size:
         return np.empty(0, np.int64)
-    return np.bincount(np.unique(np.stack([group, owner[starts]]), axis=1)[0], minlength=group[-1] + 1)
+    counts = owner[starts] >= 0
+    return np.bincount(np.unique(np.stack([group[counts], owner[starts][counts]]), axis=1)[0], minlength=group[-1] + 1)
 
 
 def spread(starts: np.ndarray, n: int, least: int = LEAST_TOKENS) -> np.ndarray:
@@ -216,22 +223,28 @@ def article_of(found: list[tuple[str, bool, bool]]) -> str | None:
     return "\n".join(inside) if inside else None
 
 
+NO_TEXT = int(np.uint64(xxh3_64_intdigest(b"")).astype(np.int64))
+
+
 def text_keys(found: list[tuple[str, bool, bool]]) -> tuple[int, int]:
     """64-bit hashes of the text of a page without what markup drops, and of its article."""
     return tuple(xxh3_64_intdigest(t.encode()) for t in ("\n".join(t for t, _, gone in found if not gone), article_of(found) or ""))
 
 
 class Streams:
-    """Tokens of the pages of one shard; blocks inside and outside articles are streams of their own with no token in common."""
+    """Tokens of the pages of one shard; blocks inside and outside articles are streams of their own with no token in common.
+
+    ``elsewhere`` has the (page, inside articles) of streams whose texts are counted elsewhere.
+    """
 
-    def __init__(self, pages: list[list[tuple[str, bool, bool]]]) -> None:
+    def __init__(self, pages: list[list[tuple[str, bool, bool]]], elsewhere: set[tuple[int, int]] = frozenset()) -> None:
         self.pages = pages
         self.words: dict[str, int] = {}
         keys: dict[tuple[int, int], int] = {}
         tokens, stream, owner, block = [], [], [], []
         blocks_before = np.cumsum([0, *map(len, pages)]).tolist()
         for p, found in enumerate(pages):
-            own = [keys.setdefault((kind, key), len(keys)) for kind, key in enumerate(text_keys(found))]
+            own = [-1 if (p, kind) in elsewhere else keys.setdefault((kind, key), len(keys)) for kind, key in enumerate(text_keys(found))]
             for kind in (0, 1):
                 for b, (text, inside, _) in enumerate(found, blocks_before[p]):
                     if inside == kind:
@@ -243,6 +256,32 @@ class Streams:
         self.tokens, self.stream, self.owner, self.block = (np.array(x, np.int64) for x in (tokens, stream, owner, block))
         self.n_blocks = blocks_before[-1]
 
+    def hashes(self, starts: np.ndarray, bits: int) -> np.ndarray:
+        """Hash of the passage at each start, as long as ``bits``."""
+        word = np.fromiter(map(xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+        of_token = word[self.tokens >> 1] + (self.tokens & 1).astype(np.uint64)
+        total = np.zeros(starts.size, np.uint64)
+        for k in range(LEAST_TOKENS):
+            total = (total ^ of_token[starts + k]) * np.uint64(0x9E3779B97F4A7C15)
+            total = (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            total ^= total >> np.uint64(29)
+        return (total >> np.uint64(64 - bits)).astype(np.int64)
+
+    def counts(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the passages, ascending, and the number of distinct owners of each, up to the number that makes it boilerplate."""
+        starts, group = passages(self.tokens, self.stream)
+        first = np.diff(group, prepend=-1) != 0
+        hashes, place = np.unique(self.hashes(starts[first], bits), return_inverse=True)
+        n = np.bincount(place, weights=owners(starts, group, self.owner), minlength=hashes.size)
+        return hashes, np.minimum(n, LEAST_PAGES).astype(np.uint8)
+
+    def covered_by(self, repeated: np.ndarray, bits: int) -> np.ndarray:
+        """Which tokens lie in a passage with one of the hashes."""
+        n = self.tokens.size
+        starts = np.arange(max(n - LEAST_TOKENS + 1, 0))
+        starts = starts[self.stream[starts] == self.stream[starts + LEAST_TOKENS - 1]] if starts.size else starts
+        return spread(starts[np.isin(self.hashes(starts, bits), repeated)], n)
+
     def texts(self, over: np.ndarray) -> list[str]:
         """Text of each page from its blocks that markup does not drop and covered tokens do not fill."""
         size = np.bincount(self.block, minlength=self.n_blocks)
@@ -264,6 +303,32 @@ def settle_pages(pages: list[list[tuple[str, bool, bool]]]) -> list[str]:
     return streams.texts(covered(streams.tokens, streams.stream, owner=streams.owner))
 
 
+def hash_bits(shards: int) -> int:
+    return HASH_BITS + (shards - 1).bit_length()
+
+
+def _ascending(values: np.ndarray) -> bytes:
+    """Ascending numbers packed as their differences, byte planes apart."""
+    return zlib.compress(np.diff(values, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _numbers(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
+
+
+def add_up(group: pa.Table) -> pa.Table:
+    """(host, at, hashes): of each shard's hashes in one part those that are repeated on the host."""
+    hashes = [_numbers(b) for b in group.column("hashes").to_pylist()]
+    n = np.concatenate([np.frombuffer(zlib.decompress(b), np.uint8) for b in group.column("n").to_pylist()])
+    place = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    repeated = np.split((np.bincount(place, weights=n) >= LEAST_PAGES)[place], np.cumsum([h.size for h in hashes])[:-1])
+    some = pa.array([bool(r.any()) for r in repeated])
+    out = pa.table({"host": group.column("host"), "at": group.column("at"),
+                    "hashes": pa.array([_ascending(h[r]) for h, r in zip(hashes, repeated, strict=True)], pa.binary())})
+    return out.filter(some)
+
+
 def settle(articles: list[str | None], around: list[list[tuple[str, bool]]]) -> list[str]:
     """Text of each page of one shard, given as the text of its article and the blocks (text, dropped by markup) around it."""
     return settle_pages([[(t, True, False) for t in (article or "").split("\n") if t] + [(t, False, gone) for t, gone in found]
@@ -290,23 +355,66 @@ def main_text(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     # Written first: the planner then knows its size and sends it to the pages, not the pages to it, as long as it is small.
-    large = kept(pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > shard_pages).select(
-        F.col("host").alias("h"), F.ceil(F.col("n") / shard_pages).alias("shards")))
-
-    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        packed = [_packed(blocks(t)) for t in texts_of(batch, "html")]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), batch.column("host"), batch.column("at"), pa.array(packed, pa.binary())],
-            ["page_id", "url", "host", "at", "blocks"])
-
-    def shard(group: pa.Table) -> pa.Table:
-        texts = settle_pages([_unpacked(b) for b in group.column("blocks").to_pylist()])
+    size = pages.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).filter(F.col("n") > shard_pages)
+    large = kept(size.select(F.col("host").alias("h"), F.ceil(F.col("n") / shard_pages).alias("shards"),
+                             F.ceil((F.col("bytes") + 1) / PART_BYTES).alias("parts")))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    row = F.xxhash64("page_id", "url", F.length("html"))
+    columns = ["page_id", "url", "host", "row", "at", "shards", "parts"]
+
+    def placed(how: str) -> DataFrame:
+        at = F.pmod("row", F.coalesce("shards", F.lit(1)))
+        return pages.join(large, F.col("host") == F.col("h"), how).withColumn("row", row).withColumn("at", at).select(*columns, "html")
+
+    def parsed(how: str) -> DataFrame:
+        def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+            packed = [_packed(blocks(t)) for t in texts_of(batch, "html")]
+            return pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(packed, pa.binary())], [*columns, "blocks"])
+
+        schema = f"page_id {kind}, url string, host string, row long, at long, shards long, parts long, blocks binary"
+        return map_slices(placed(how), "html", schema, lambda: parse)
+
+    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [text_keys(blocks(t)) for t in texts_of(batch, "html")]
+        key = np.array(found, np.uint64).T.copy().view(np.int64)
+        return pa.RecordBatch.from_arrays([*map(batch.column, ("host", "row", "at")), *map(pa.array, key)], ["host", "row", "at", "k0", "k1"])
+
+    # A text that several pages of a large host have is counted with the first of them only.
+    key = kept(map_slices(placed("inner"), "html", "host string, row long, at long, k0 long, k1 long", lambda: keys).select(
+        "host", "row", "at", F.posexplode(F.array("k0", "k1")).alias("kind", "key")).filter(F.col("key") != NO_TEXT))
+    first = key.groupBy("host", "kind", "key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").drop("last")
+    elsewhere = key.join(first, ["host", "kind", "key"]).filter("row <> first").select("host", "at", "row", "kind").distinct()
+
+    def count(group: pa.Table, other: pa.Table) -> pa.Table:
+        gone = set(zip(other.column("row").to_pylist(), other.column("kind").to_pylist(), strict=True))
+        rows = group.column("row").to_pylist()
+        out = {"host": [], "part": [], "at": [], "hashes": [], "n": []}
+        if rows:
+            host_, at, shards, parts = (group.column(c)[0].as_py() for c in ("host", "at", "shards", "parts"))
+            skipped = {(p, k) for p, r in enumerate(rows) for k in (0, 1) if (r, k) in gone}
+            hashes, n = Streams([_unpacked(b) for b in group.column("blocks").to_pylist()], skipped).counts(hash_bits(shards))
+            part = hashes % parts
+            for k in np.unique(part).tolist():
+                mine = part == k
+                for name, value in zip(out, (host_, k, at, _ascending(hashes[mine]), zlib.compress(n[mine].tobytes(), 1)), strict=True):
+                    out[name].append(value)
+        return pa.table(out, pa.schema([("host", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("hashes", pa.binary()), ("n", pa.binary())]))
+
+    counted = parsed("inner").groupBy("host", "at").cogroup(elsewhere.groupBy("host", "at")).applyInArrow(
+        count, "host string, part long, at long, hashes binary, n binary")
+    repeated = counted.groupBy("host", "part").applyInArrow(add_up, "host string, at long, hashes binary")
+
+    def shard(group: pa.Table, other: pa.Table) -> pa.Table:
+        pages = [_unpacked(b) for b in group.column("blocks").to_pylist()]
+        shards = group.column("shards")[0].as_py() if pages else None
+        if shards is None:
+            texts = settle_pages(pages)
+        else:
+            streams = Streams(pages)
+            hashes = np.concatenate([np.empty(0, np.int64), *map(_numbers, other.column("hashes").to_pylist())])
+            texts = streams.texts(streams.covered_by(hashes, hash_bits(shards)))
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()),
                          "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    at = F.pmod(F.xxhash64("page_id", "url", F.length("html")), F.coalesce("shards", F.lit(1)))
-    placed = pages.join(large, F.col("host") == F.col("h"), "left").select("page_id", "url", "host", "html", at.alias("at"))
-    kind = pages.schema["page_id"].dataType.simpleString()
-    schema = f"page_id {kind}, url string, host string, at long, blocks binary"
-    parsed = map_slices(placed, "html", schema, lambda: parse)
-    return parsed.groupBy("host", "at").applyInArrow(shard, f"page_id {kind}, url string, text string, n_chars long")
+    return parsed("left").groupBy("host", "at").cogroup(repeated.groupBy("host", "at")).applyInArrow(
+        shard, f"page_id {kind}, url string, text string, n_chars long")

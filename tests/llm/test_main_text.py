@@ -98,6 +98,26 @@ def test_repetition_decides_around_and_inside_articles(spark):
         assert found[200 + k] == f"{body(6000)}\nversion {k}"
 
 
+def test_shards_give_the_same_texts_as_one(spark):
+    draw = random.Random(5)
+    lines = [" ".join(f"v{draw.randrange(50)}" for _ in range(draw.randrange(3, 12))) for _ in range(60)]
+    rows = []
+    for k in range(150):
+        own = [" ".join(f"u{k}x{j}x{i}" for j in range(12)) for i in range(6)]
+        rest = [f"<p>{draw.choice(lines)}</p>" for _ in range(draw.randrange(3))] + [f"<p>{t}</p>" for t in own]
+        draw.shuffle(rest)
+        cut = draw.randrange(len(rest))
+        html = "".join(rest) if k % 3 else "".join(rest[:cut]) + "<article>" + "".join(rest[cut:]) + "</article>"
+        rows += [(1000 * k + c, f"https://h.example/{k}", html) for c in range(draw.choice((1, 1, 1, 4)))]
+    notice = "this notice stands on three pages of the host only"
+    rows += [(10**6 + k, "https://h.example/n", f"<p>alone {k}</p><p>{notice}</p>") for k in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = ({r.page_id: r.text for r in main_text(df, shard_pages=n).collect()} for n in (10**6, 5))
+    assert one == many and len(one) == len(rows)
+    assert all(many[10**6 + k] == f"alone {k}" for k in range(3))
+    assert any(len(many[i].split("\n")) < html.count("<p>") for i, _, html in rows[:-3])
+
+
 def test_odd_rows(spark):
     rows = [(1, None, None), (2, "", ""), (None, "https://a", "<p>x"), (4, "https://a", "<p>" + "long words " * 50_000), (4, "https://a", "<p>y</p>"),
             (4, "https://a", "<p>y</p>")]
