@@ -11,6 +11,8 @@ from hopledger.llm.common import kept, table
 from hopledger.llm.queries import VOCABULARY
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Near copies have a five-word Jaccard similarity of at least this much; op2 has a contract of its own.
+NEAR_PERCENT = 80
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,11 +23,19 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; a repeated doc_id stays once, documents without an id all stay."""
-    docs = docs.select(*COLUMNS)
-    chosen = minmax_dedup.near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id IS NULL"))
+    """One document of each group of near duplicates at ``NEAR_PERCENT``; documents without an id all stay.
+
+    A doc_id that comes with different texts is as many documents; the same text under one doc_id stays once.
+    """
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("text_key"))
+    # Numbers in the order of doc_id, so that the smallest doc_id of a group is the one that stays.
+    number = kept(keyed.filter("doc_id IS NOT NULL").select("doc_id", "text_key").distinct().orderBy("doc_id", "text_key").withColumn(
+        "number", F.monotonically_increasing_id()))
+    numbered = kept(keyed.join(number, ["doc_id", "text_key"]).select("number", *COLUMNS))
+    found = minmax_dedup.near_duplicates(numbered.select(F.col("number").alias("doc_id"), "text"), NEAR_PERCENT)
+    chosen = found.filter("kept").select(F.col("doc_id").alias("number")).distinct()
+    one = numbered.join(chosen, "number", "left_semi").dropDuplicates(["number"]).select(*COLUMNS)
+    return one.unionByName(keyed.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def remove_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Near duplicates by min-max hashing: each permutation gives its least and its greatest value.
 
-96 permutations give 192 signature values, cut into 32 bands of six. A pair with a Jaccard similarity of 0.85 shares no band with a
-probability of 3e-7. Texts with equal shingle sets are one class; only class representatives are linked:
+96 permutations give 192 signature values, cut into bands whose length follows from the similarity: 32 bands of six at 0.85, 38 of five at
+0.80. A pair at the similarity shares no band with a probability of 3e-7. Texts with equal shingle sets are one class; only class
+representatives are linked:
 
 1. Rounds: every band bucket names leaders, a representative is checked against the most alike of the leaders of other components, and the
    confirmed links are merged. This takes a bounded number of checks per representative, whatever the size of its bucket.
@@ -9,14 +10,16 @@ probability of 3e-7. Texts with equal shingle sets are one class; only class rep
    against all members of other components, so no candidate link between components is left out.
 
 Links are confirmed on the full sets of words themselves. One bit per signature value (192 bits) drops candidates that are too far off: at
-0.85, 14 bits are expected to differ (deviation 3.7); pairs beyond 40 are not checked (probability below 1e-9). The last step compares a
-longer signature too, within the join, so that pairs well below the similarity are not even listed (3e-7 for a pair at 0.85).
+0.85, 14 bits are expected to differ (deviation 3.7); pairs beyond a limit that a pair at the similarity passes with a probability below 1e-9
+are not checked. The last step compares a longer signature too, within the join, so that pairs well below the similarity are not even listed
+(1e-7 for a pair at the similarity). ``limits`` derives all three from the similarity.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,20 +31,40 @@ from hopledger.llm.common import LOWER_ASCII, WORD, kept, map_slices, texts_of
 from hopledger.llm.components import components
 
 SHINGLE = 5
-PERMUTATIONS, ROWS = 96, 6
-BANDS = 2 * PERMUTATIONS // ROWS
-FAR = 40
+PERMUTATIONS = 96
 ROUNDS, TRIES = 2, 2
 # The finer sketch of the last step: two bits of 1024 values, compared in the join. At 0.85, 115 values are expected to differ (deviation 10).
-FINE_PERMUTATIONS, FINE_FAR = 512, 166
+FINE_PERMUTATIONS = 512
+# Probabilities that a pair at the similarity shares no band, has too many differing bits, has too many differing cells.
+BAND_LOSS, FAR_LOSS, FINE_LOSS = 3e-7, 1e-9, 1e-7
 _WORDS = re.compile(WORD)
 _SEED = np.random.default_rng(20)
 _A = _SEED.integers(1, 1 << 31, PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _SEED.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
 _FINE_A = _SEED.integers(1, 1 << 31, FINE_PERMUTATIONS, np.uint32) * np.uint32(2) + np.uint32(1)
 _FINE_B = _SEED.integers(0, 1 << 32, FINE_PERMUTATIONS, np.uint32)
-_BAND = _SEED.integers(1, 1 << 62, (1, ROWS), np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = _SEED.integers(1, 1 << 62, (1, 6), np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _SEED.integers(1, 1 << 62, 16, np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND = np.concatenate([_BAND, _SEED.integers(1, 1 << 62, (1, 2 * PERMUTATIONS - 6), np.uint64) * np.uint64(2) + np.uint64(1)], axis=1)
+
+
+def _limit(n: int, p: float, loss: float) -> int:
+    """Least number that ``n`` values, each differing with probability ``p``, exceed with a probability of at most ``loss``."""
+    tail = 0.0
+    for k in range(n, 0, -1):
+        if 0 < p < 1:
+            tail += math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p))
+        if tail > loss:
+            return k
+    return 0
+
+
+@cache
+def limits(percent: int) -> tuple[int, int, int]:
+    """(values of a band, bits that may differ, cells of the finer sketch that may differ) for a similarity."""
+    alike, values = percent / 100, 2 * PERMUTATIONS
+    rows = next((r for r in range(values, 1, -1) if (1 - alike**r) ** (values // r) <= BAND_LOSS), 1)
+    return rows, _limit(values, (1 - alike) / 2, FAR_LOSS), _limit(2 * FINE_PERMUTATIONS, 0.75 * (1 - alike), FINE_LOSS)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -89,10 +112,11 @@ def signature(shingles: np.ndarray, a: np.ndarray = _A, b: np.ndarray = _B) -> n
     return np.concatenate([low, high])
 
 
-def bands_of(values: np.ndarray) -> np.ndarray:
-    """One 64-bit key per band; a band mixes least and greatest values."""
-    by_band = values.reshape(ROWS, BANDS).T.astype(np.uint64)
-    keys = _mixed((by_band * _BAND).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def bands_of(values: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit key per band of ``rows`` values; a band mixes least and greatest values."""
+    bands = values.size // rows
+    by_band = values[:rows * bands].reshape(rows, bands).T.astype(np.uint64)
+    keys = _mixed((by_band * _BAND[:, :rows]).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return keys.view(np.int64)
 
 
@@ -102,7 +126,7 @@ def bits_of(values: np.ndarray) -> np.ndarray:
     return np.packbits(bit).view(np.int64)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, rows: int) -> DataFrame:
     """(doc_id, n_shingles, set_key, bands, bits) per row; ``set_key`` is equal for equal shingle sets, null for empty ones."""
     schema = "doc_id long, n_shingles long, set_key binary, bands array<long>, b0 long, b1 long, b2 long"
 
@@ -119,7 +143,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 if shingles.size:
                     values = signature(shingles)
                     keys.append(xxh3_128_digest(shingles.tobytes()))
-                    bands.append(bands_of(values))
+                    bands.append(bands_of(values, rows))
                     bits.append(bits_of(values))
                 else:
                     keys.append(None)
@@ -163,7 +187,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int = 85) -> DataFrame
     return map_slices(joined, "text", "a long, b long", make)
 
 
-def _round(members: DataFrame, bits: DataFrame, label: DataFrame, number: int) -> DataFrame:
+def _round(members: DataFrame, bits: DataFrame, label: DataFrame, number: int, far_limit: int) -> DataFrame:
     """Candidate pairs: each representative with the most alike leaders of its buckets' other components."""
     named = members.join(label, "id").select("key", "id", "component")
     order = F.xxhash64("key", F.lit(number), "component")
@@ -175,7 +199,7 @@ def _round(members: DataFrame, bits: DataFrame, label: DataFrame, number: int) -
     pairs = named.join(leaders, "key").select("id", leader.alias("leader")).filter("leader IS NOT NULL").distinct()
     mine = bits.toDF("id", "b0", "b1", "b2")
     theirs = bits.toDF("leader", "t0", "t1", "t2")
-    far = pairs.join(mine, "id").join(theirs, "leader").withColumn("far", _differing("b", "t")).filter(F.col("far") <= FAR)
+    far = pairs.join(mine, "id").join(theirs, "leader").withColumn("far", _differing("b", "t")).filter(F.col("far") <= far_limit)
     part = F.pmod(F.xxhash64("leader", F.lit(number)), F.lit(TRIES))
     best = far.groupBy("id", part.alias("part")).agg(F.min(F.struct("far", "leader")).alias("best"))
     return best.select(F.least("id", "best.leader").alias("a"), F.greatest("id", "best.leader").alias("b")).distinct()
@@ -210,7 +234,9 @@ def _fine_differing(left: str, right: str):
     return F.aggregate(F.zip_with(left, right, cell), F.lit(0), lambda total, x: total + count(x))
 
 
-def _rest(members: DataFrame, bits: DataFrame, bands: DataFrame, label: DataFrame, texts: DataFrame) -> DataFrame:
+def _rest(
+    members: DataFrame, bits: DataFrame, bands: DataFrame, label: DataFrame, texts: DataFrame, far_limit: int, fine_limit: int,
+) -> DataFrame:
     """All candidate pairs between components that share a bucket and are not far apart by the finer sketch.
 
     A pair that shares several buckets is listed in the first of them only.
@@ -225,7 +251,8 @@ def _rest(members: DataFrame, bits: DataFrame, bands: DataFrame, label: DataFram
     minor = named.filter("component <> main").select(
         "key", F.col("id").alias("other"), F.col("component").alias("kind"), F.col("fine").alias("fine_"), F.col("bands").alias("bands_"),
         *(F.col(f"b{k}").alias(f"t{k}") for k in range(3)))
-    near = (F.col("component") != F.col("kind")) & (_differing("b", "t") <= FAR) & (_fine_differing("fine", "fine_") <= FINE_FAR)
+    near = (F.col("component") != F.col("kind")) & (_differing("b", "t") <= far_limit) & (
+        _fine_differing("fine", "fine_") <= fine_limit)
     first = F.array_position(F.zip_with("bands", "bands_", lambda x, y: x == y), True) == F.col("band") + 1
     # A pair of two minor members would come twice; the larger id leads then.
     once = (F.col("component") == F.col("main")) | (F.col("id") < F.col("other"))
@@ -241,7 +268,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     with several texts gets the smallest of their components; a row without doc_id is linked with nothing, has a null component and is kept. Extra columns do not matter; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = kept(signatures(docs))
+    rows, far_limit, fine_limit = limits(percent)
+    signed = kept(signatures(docs, rows))
     sets = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     class_of = kept(sets.groupBy("set_key").agg(F.min(F.struct("doc_id", "bands", "b0", "b1", "b2")).alias("r")).select("set_key", "r.*"))
     bits = class_of.select("doc_id", "b0", "b1", "b2").distinct()
@@ -252,9 +280,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     label = kept(members.select("id").distinct().withColumn("component", F.col("id")))
     texts = kept(docs.join(label.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"))
     for number in range(ROUNDS):
-        links = kept(confirmed(kept(_round(members, bits, label, number)), texts, percent))
+        links = kept(confirmed(kept(_round(members, bits, label, number, far_limit)), texts, percent))
         label = _merged(label, links)
-    links = kept(confirmed(kept(_rest(members, bits, class_of.select(F.col("doc_id").alias("id"), "bands"), label, texts)), texts, percent))
+    bands = class_of.select(F.col("doc_id").alias("id"), "bands")
+    links = kept(confirmed(kept(_rest(members, bits, bands, label, texts, far_limit, fine_limit)), texts, percent))
     label = _merged(label, links)
 
     copies = sets.select(F.col("doc_id").alias("id"), "set_key").join(class_of.select("set_key", F.col("doc_id").alias("rep")), "set_key")

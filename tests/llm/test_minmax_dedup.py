@@ -62,6 +62,44 @@ def test_links_that_rounds_miss_are_found_by_the_rest(documents, monkeypatch):
     assert found == brute(rows)
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[k:k + 5]) for k in range(len(w) - 4)} for w in (words_of(a), words_of(b)))
+    return len(a & b) / len(a | b)
+
+
+def chain(draw, steps, first_id):
+    """Texts of which only neighbours are alike, with similarities from 0.80 to 0.85."""
+    words, out = [f"c{first_id}x{k}" for k in range(105)], []
+    for step in range(steps):
+        out.append((first_id + step, " ".join(words)))
+        words = list(words)
+        for at in (10 + 6 * step % 40, 60 + 6 * step % 40):
+            words[at] = f"new{first_id}x{step}x{at}"
+    draw.shuffle(out)
+    return out
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_chains_between_80_and_85_percent(documents, monkeypatch, rounds):
+    draw = random.Random(8)
+    rows = [row for k in range(40) for row in chain(draw, 6, 1000 * k)]
+    text = dict(rows)
+    near = [jaccard(text[i], text[i + 1]) for i in text if i + 1 in text]
+    assert 0.8 <= min(near) and max(near) < 0.85 and len(near) == 200
+    monkeypatch.setattr(minmax_dedup, "ROUNDS", rounds)
+    found = {r.doc_id: r.component_id for r in near_duplicates(documents(rows), 80).collect()}
+    assert found == {i: i // 1000 * 1000 for i in text}
+    assert all(r.kept for r in near_duplicates(documents(rows)).collect())
+
+
+def test_limits_follow_the_similarity():
+    for percent in (50, 70, 80, 85, 90, 95):
+        rows, far, fine = minmax_dedup.limits(percent)
+        assert rows == 1 or (1 - (percent / 100) ** rows) ** (192 // rows) <= 3e-7
+        assert 192 * (1 - percent / 100) / 2 < far < 96 and 1024 * 0.75 * (1 - percent / 100) < fine < 768
+    assert minmax_dedup.limits(85)[0] == 6 and abs(minmax_dedup.limits(80)[2] - 215) <= 3
+
+
 def test_odd_rows(odd, empty):
     rows = near_duplicates(odd).collect()
     assert len(rows) == len(ODD_ROWS)

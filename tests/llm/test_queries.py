@@ -45,3 +45,11 @@ def test_stages_on_odd_rows(spark, odd, empty):
     assert {r.doc_id for r in first.collect()} == {4, 5, None, 8, 9, 10, 11}
     second = corpus_pipeline.drop_near_duplicates(spark, odd, SF)
     assert sorted(str(r.doc_id) for r in second.collect()) == sorted(str(i) for i in (1, 2, 3, 4, None, 7, 8, 9, 10, 11))
+
+
+def test_near_copies_at_80_percent_go_and_texts_under_one_id_stay(spark, documents):
+    words = [f"w{k}" for k in range(105)]
+    near = [w if k not in (20, 70) else f"other{k}" for k, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, "one text of its own"), (3, "and something quite different"), (3, "one text of its own")]
+    found = corpus_pipeline.drop_near_duplicates(spark, documents(rows), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in found) == sorted({rows[0], rows[2], rows[3]})
