@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hopledger.llm.common import table
 
@@ -178,3 +179,38 @@ def op4_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hopledger.llm.projected_search import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op11_eigen_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hopledger.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_strassen_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hopledger.llm.hard_negatives import mine
+
+    embeddings = table(spark, sf_dir, "embeddings")
+    return mine(embeddings.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+SQL["op13_strassen_negatives"] = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS kind, [floor(256 * x::DOUBLE) FOR x IN embedding] AS q
+    FROM embeddings WHERE label IS NOT NULL
+      AND len(embedding) > 0 AND len(list_filter([isfinite(coalesce(x, 'nan'::FLOAT)) FOR x IN embedding], lambda ok: NOT ok)) = 0
+), pairs AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.kind = b.kind AS same, list_inner_product(a.q, b.q)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 100 = 0
+), positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""

@@ -19,11 +19,11 @@ BLOCK_ROWS = 4096
 _FOUND = "query_id long, vec_id long, score {kind}"
 
 
-def usable(embeddings: DataFrame, nonzero: bool = False) -> DataFrame:
-    """(vec_id, v) of vectors without null or non-finite components; null and empty vectors and, if asked, zero vectors are left out."""
+def usable(embeddings: DataFrame, nonzero: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(vec_id, v, *keep) of vectors without null or non-finite components; null and empty vectors and, if asked, zero vectors are left out."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), *keep)
     rows = rows.filter(v.isNotNull() & (F.size(v) > 0) & finite)
     return rows.filter(F.exists(v, lambda x: x != 0)) if nonzero else rows
 
