@@ -12,6 +12,7 @@ from hopledger.llm.common import table
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -214,3 +215,12 @@ FROM positives JOIN pairs USING (anchor_id)
 WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
 QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
 """
+
+
+@query
+def op12_sentencepiece_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from hopledger.llm.sentence_pieces import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
