@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -65,15 +67,71 @@ def number_text(value: Column) -> Column:
     )
 
 
+def _let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of named values, each computed once: nested column expressions would repeat them in every use."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
+def _halves(x: Column) -> Column:
+    """A double as the sum of two of half its length, so that products of such halves are exact."""
+    wide = x * F.lit(float(2**27 + 1))
+    return _let(lambda v: F.struct(v["high"].alias("high"), (v["x"] - v["high"]).alias("low")), x=x, high=wide - (wide - x))
+
+
+def _four_digits(x: Column) -> Column:
+    """(digits, place): the four leading digits of a number from 1e-18 to 1e18, rounded from its binary value with halves to even.
+
+    The product with a power of ten is known exactly as a double and its error, so what decides the rounding is no rounded figure.
+    """
+    place = F.when(x >= 1, F.length(F.floor(x).cast("string")) - 1)
+    for k in range(1, 18):
+        place = place.when(x >= float(f"1e-{k}"), -k)
+    ten = lambda power: F.rint(F.pow(F.lit(10.0), F.greatest(power, F.lit(0))))
+
+    def products(v: Column) -> Column:
+        return _let(numbers, x=v["x"], place=v["place"], up=v["up"], down=v["down"], product=v["x"] * v["up"], a=_halves(v["x"]), b=_halves(v["up"]))
+
+    def numbers(v: Column) -> Column:
+        a, b = v["a"], v["b"]
+        error = ((a["high"] * b["high"] - v["product"]) + a["high"] * b["low"] + a["low"] * b["high"]) + a["low"] * b["low"]
+        number = F.floor(F.when(v["x"] < 10000, v["product"]).otherwise(v["x"] / v["down"]))
+        return _let(chosen, x=v["x"], place=v["place"], down=v["down"], product=v["product"], error=error, number=number)
+
+    def chosen(v: Column) -> Column:
+        number = v["number"]
+        over = F.when(v["x"] < 10000, (v["product"] - number - 0.5) + v["error"]).otherwise(v["x"] - (number + 0.5) * v["down"])
+        up = lambda w: (w["over"] > 0) | ((w["over"] == 0) & (w["number"] % 2 == 1))
+        return _let(lambda w: carried(w["number"] + F.when(up(w), 1).otherwise(0), w["place"]), number=number, place=v["place"], over=over)
+
+    def carried(digits: Column, place: Column) -> Column:
+        return _let(lambda w: F.struct(F.when(w["d"] == 10000, 1000).otherwise(w["d"]).alias("digits"),
+                                       (w["p"] + F.when(w["d"] == 10000, 1).otherwise(0)).alias("place")), d=digits, p=place)
+
+    return _let(lambda v: _let(products, x=v["x"], place=v["place"], up=ten(3 - v["place"]), down=ten(v["place"] - 3)), x=x, place=place.otherwise(-18))
+
+
 def humanize_percentage(ratio: Column) -> Column:
     """F16: the ratio times one hundred to four significant digits, without padding zeros, and a percent sign."""
-    scientific = F.format_string("%.3e", ratio.cast("double") * 100)
-    exponent = F.regexp_extract(scientific, "e([+-][0-9]+)$", 1).try_cast("int")
-    plain = scientific.try_cast("double").cast("decimal(30,12)").cast("string")
-    bare = F.regexp_replace(F.regexp_replace(plain, "0+$", ""), "\\.$", "")
-    short = F.regexp_replace(scientific, "\\.?0*e", "e")
-    text = F.when(ratio == 0, "0").when(exponent.between(-4, 3), bare).otherwise(short)
-    return F.concat(text, F.lit("%"))
+
+    def written(v: Column) -> Column:
+        digits, place = F.rtrim(v["digits"].cast("string"), F.lit("0")), v["place"]
+        before, after = F.rpad(F.substring(digits, F.lit(1), place + 1), place + 1, F.lit("0")), F.substring(digits, place + 2, F.lit(4))
+        tail = F.substring(digits, 2, 3)
+        point = lambda text: F.when(text != "", F.concat(F.lit("."), text)).otherwise("")
+        return (
+            F.when(place.between(-4, -1), F.concat(F.lit("0."), F.repeat(F.lit("0"), -place - 1), digits)).when(place.between(0, 3), F.concat(before, point(after)))
+            .otherwise(F.concat(F.substring(digits, 1, 1), point(tail), F.when(place < 0, "e-").otherwise("e+"), F.lpad(F.abs(place).cast("string"), 2, "0")))
+        )
+
+    def signed(v: Column) -> Column:
+        size = F.abs(v["value"])
+        beyond = F.regexp_replace(F.format_string("%.3e", size), "\\.?0*e", "e")
+        inside = (size >= 1e-18) & (size < 1e18)
+        text = F.when(v["value"] == 0, "0").when(inside, _let(lambda w: written(w["four"]), four=_four_digits(size))).otherwise(beyond)
+        return F.when(F.isnan(v["value"]), "NaN").when(size == float("inf"), F.when(v["value"] > 0, "+Inf").otherwise("-Inf")).otherwise(
+            F.concat(F.when(v["value"] < 0, "-").otherwise(""), text))
+
+    return F.when(ratio.isNotNull(), F.concat(_let(signed, value=ratio.cast("double") * 100), F.lit("%")))
 
 
 def candidate_paths(path: Column, paths: Column) -> Column:

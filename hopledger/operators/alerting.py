@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hopledger.functions.text import humanize_percentage, number_text
 from hopledger.operators.health import APP_SERVICE, PathHealth
-from hopledger.operators.series import MICROS, SERIES, Grid, absent, age_of_newest, compare, instant_vector
+from hopledger.operators.series import MICROS, SERIES, Grid, absent_series, age_of_newest, compare, instant_vector
 
 INBOUND = "ifHCInOctets"
 
@@ -105,14 +105,18 @@ def stamp(held: DataFrame, rule: Rule, labels: list[str]) -> DataFrame:
 
 @dataclass
 class Alerting:
-    """The alert rules over one evaluation grid, which needs both ends."""
+    """The alert rules over one evaluation grid, which needs both ends.
+
+    Absence and age (A1, A3, A4) are judged for the whole feed, or, with ``per``, for each value of those labels among all that ever sent.
+    """
 
     samples: DataFrame
     mapping: DataFrame
     grid: Grid
     keys: list[str] | None = None
-    mapping_ticks: DataFrame | None = None
+    mapping_samples: DataFrame | None = None
     feeds: DataFrame | None = None
+    per: list[str] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         self.health = PathHealth(self.samples, self.mapping, self.grid, self.keys)
@@ -124,9 +128,9 @@ class Alerting:
         return self.samples.filter(F.col("metric") == INBOUND)
 
     def mapping_absent(self) -> DataFrame:
-        """A1. ``mapping_ticks(t)`` says when the mapping was there; else it is there when it has rows."""
-        if self.mapping_ticks is not None:
-            return absent(self.mapping_ticks, self._ticks())
+        """A1. ``mapping_samples`` are scrapes of the mapping; without them it is there when it has rows."""
+        if self.mapping_samples is not None:
+            return absent_series(self.mapping_samples, self.per, self.grid)
         rows = self.mapping.agg(F.count(F.lit(1)).alias("n")).scalar()
         return self._ticks().filter(rows == 0).withColumn("value", F.lit(1.0))
 
@@ -137,11 +141,11 @@ class Alerting:
 
     def counters_absent(self) -> DataFrame:
         """A3."""
-        return absent(instant_vector(self._inbound(), SERIES, self.grid), self._ticks())
+        return absent_series(self._inbound(), self.per, self.grid)
 
     def counters_stale(self) -> DataFrame:
         """A4, over the whole history: the look-back would hide the very samples it asks about."""
-        return compare(age_of_newest(self._inbound(), self.grid, self._ticks()), ">", STALE_AFTER_S)
+        return compare(age_of_newest(self._inbound(), self.per, self.grid), ">", STALE_AFTER_S)
 
     def mapping_drift(self) -> DataFrame:
         """A5: mapping rows less the rows whose interface has a counter at the tick.
@@ -178,7 +182,9 @@ class Alerting:
     def alerts(self, name: str, hold_s: int | None = None) -> DataFrame:
         """The rule ``name`` held and stamped."""
         rule = RULES[name]
-        labels = ["job", "instance"] if name == "mapping_feed_down" else list(rule.labels)
+        own = {"mapping_feed_down": ["job", "instance"], "counters_absent": self.per, "counters_stale": self.per,
+               "mapping_absent": [] if self.mapping_samples is None else self.per}
+        labels = list(own.get(name, rule.labels))
         held = hold(getattr(self, name)(), labels, self.grid.step, rule.hold_s if hold_s is None else hold_s)
         return stamp(held, rule, labels)
 

@@ -271,25 +271,73 @@ def unless(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def absent(present: DataFrame, ticks: DataFrame) -> DataFrame:
-    """The ticks where nothing is present."""
+    """V14 without labels: the ticks where nothing is present."""
     return ticks.join(present.select("t").distinct(), "t", "left_anti").withColumn("value", F.lit(1.0))
 
 
-def age_of_newest(samples: DataFrame, grid: Grid, ticks: DataFrame) -> DataFrame:
-    """Seconds since the newest sample up to each tick, over all history.
+def presence(samples: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
+    """(keys, first, last): runs of ticks at which a sample of the key lies within the look-back.
 
-    Samples are first reduced to one row per tick, so the running maximum sees the grid only.
+    Runs are formed in the block of their ticks, so a key with very many samples is spread over its blocks; two runs
+    may touch at a block's edge. There are no more of them than ticks, however many samples there are.
     """
-    first = -(-grid.start // grid.step) * grid.step * MICROS
+    step = grid.step * MICROS
+    rows = into_blocks(samples, keys, keys, grid, F.lit(grid.lookback))
+    by_time = Window.partitionBy(*keys, "blk").orderBy("us")
+    # Every sample lasts equally long, so the sample before reaches furthest.
+    begins = F.coalesce(F.col("first") > F.lag("last").over(by_time) + step, F.lit(False)).cast("int")
+    numbered = rows.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(by_time))
+    return numbered.groupBy(*keys, "blk", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).select(*keys, "first", "last")
+
+
+def absent_series(samples: DataFrame, keys: list[str], grid: Grid, expected: DataFrame | None = None) -> DataFrame:
+    """V14 per key: (keys, t, value 1) for each tick of the grid at which an expected key has no sample within the look-back.
+
+    ``expected(keys)`` lists the keys to watch, by default all that ever sent a sample; without keys the whole feed is watched, also an
+    empty one. A gap lies between the end of a run and the next run, so no grid of keys and ticks is formed: ticks are made of gaps.
+    """
+    if grid.start is None or grid.end is None:
+        raise ValueError("absence needs both ends of the grid")
+    step = grid.step * MICROS
+    begin, end = -(-grid.start // grid.step) * step, grid.end // grid.step * step
+    watched = samples.select(*keys).distinct() if expected is None else expected.select(*keys).distinct()
+    runs = presence(samples, keys, grid).filter(F.col("last") >= begin).withColumn("first", F.greatest("first", F.lit(begin)))
+    if keys:
+        runs = runs.join(watched, keys, "left_semi")
+    else:
+        watched = samples.sparkSession.range(1).select()
+    # An empty run before the grid stands for the key itself: also a key without samples then has its gap.
+    before = watched.select(*keys, F.lit(begin - step).alias("first"), F.lit(begin - step).alias("last"))
+    by_time = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("first")
+    gaps = runs.unionByName(before).select(
+        *keys, (F.col("last") + step).alias("_from"), (F.coalesce(F.lead("first").over(by_time), F.lit(end + step)) - step).alias("_to"))
+    gaps = gaps.select(*keys, F.greatest("_from", F.lit(begin)).alias("_from"), F.least("_to", F.lit(end)).alias("_to")).filter("_from <= _to")
+    return gaps.select(*keys, F.explode(F.sequence("_from", "_to", F.lit(step))).alias("t"), F.lit(1.0).alias("value"))
+
+
+def age_of_newest(samples: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
+    """Seconds since the newest sample of a key up to each tick, over all history; no row before its first sample.
+
+    Samples become one row per key and tick at most (combined before the shuffle), and each holds until the next. Within a block of
+    ticks that is the next row; over blocks it is found on one row per key and block, so a busy key is spread over its blocks.
+    Without keys it is the age of the whole feed.
+    """
+    if grid.start is None or grid.end is None:
+        raise ValueError("ages need both ends of the grid")
+    step, block = grid.step * MICROS, grid.block_us
+    begin, end = -(-grid.start // grid.step) * step, grid.end // grid.step * step
     us = epoch_micros(F.col("ts"))
-    bucket = F.greatest(F.lit(first), ceil_to(us, grid.step * MICROS))
-    newest = samples.select(us.alias("us"), bucket.alias("t")).groupBy("t").agg(F.max("us").alias("us"))
-    so_far = Window.partitionBy("_all").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        ticks.join(newest, "t", "left").withColumn("_all", F.lit(0))
-        .withColumn("us", F.max("us").over(so_far)).filter("us is not null")
-        .select("t", ((F.col("t") - F.col("us")) / MICROS).alias("value"))
-    )
+    rows = samples.select(*keys, us.alias("us"), F.greatest(F.lit(begin), ceil_to(us, step)).alias("t")).filter(F.col("t") <= end)
+    rows = rows.withColumn("blk", F.expr(f"(t - pmod(t, {block})) div {block}"))
+    newest = rows.groupBy(*keys, "blk", "t").agg(F.max("us").alias("us"))
+    edge = (F.col("blk") + 1) * block
+    inner = newest.withColumn("_next", F.coalesce(F.lead("t").over(Window.partitionBy(*keys, "blk").orderBy("t")), edge))
+    ends = rows.groupBy(*keys, "blk").agg(F.max("us").alias("us"), F.min("t").alias("_first"))
+    later = F.lead("_first").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("blk"))
+    outer = ends.select(*keys, "us", edge.alias("t"), F.coalesce(later, F.lit(end + step)).alias("_next"))
+    held = inner.select(*keys, "us", "t", "_next").unionByName(outer).withColumn("_next", F.least(F.col("_next"), F.lit(end + step)))
+    ticks = held.filter(F.col("t") < F.col("_next")).withColumn("t", F.explode(F.sequence("t", F.col("_next") - step, F.lit(step))))
+    return ticks.select(*keys, "t", ((F.col("t") - F.col("us")) / MICROS).alias("value"))
 
 
 def group_by_labels(df: DataFrame, labels: list[str]) -> DataFrame:

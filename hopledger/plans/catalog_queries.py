@@ -46,15 +46,19 @@ def _(spark, sf_dir):
 SELECT phash, device, if_name, metric_if_name, if_descr, if_alias, instance,
        CASE WHEN if_index % 2 = 0 THEN 'renewed' ELSE vendor END AS vendor,
        CASE WHEN if_index % 2 = 0 THEN if_index + 100 ELSE if_index END AS if_index, observed_at
-FROM catalog WHERE if_index % 2 = 0 OR if_index <> 7
+FROM catalog
+UNION ALL
+SELECT {entity('interface', "'standby-' || device", 'if_name')}, 'standby-' || device, if_name, metric_if_name, if_descr, if_alias, instance,
+       'renewed', if_index + 100, observed_at
+FROM catalog WHERE if_index % 2 <> 0
 """, "catalog")
 def _(spark, sf_dir):
+    """A second harvest of the whole catalog: half of the interfaces are known and get a new index, half stand on devices not seen before."""
     known = d.catalog(spark, sf_dir)
-    old = known.filter("if_index <> 2 and if_index <> 7")
-    new = known.filter("if_index % 2 = 0").withColumns({
-        "vendor": F.lit("renewed"), "if_index": F.col("if_index") + 100,
-    })
-    return c.refresh_catalog(old, new)
+    device = F.when(F.col("if_index") % 2 == 0, F.col("device")).otherwise(F.concat(F.lit("standby-"), F.col("device")))
+    new = known.withColumns({"vendor": F.lit("renewed"), "device": device}).withColumns({
+        "phash": c.interface_hash(F.col("device"), F.col("if_name")), "if_index": F.col("if_index") + 100})
+    return c.refresh_catalog(known, new)
 
 
 @query("oldest_observation", "C5", "SELECT min(observed_at) AS oldest_observed_at FROM catalog WHERE observed_at <> 0", "catalog")

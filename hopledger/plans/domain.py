@@ -33,16 +33,23 @@ HARVESTED = 1700000000
 NOW_S = 996710400
 THEN_S = 899251200
 EVENTS_FROM = 1704067200
-EVENTS_TO = 1706659200
 WEEK = 604800
 DAY = 86400
-GRID = Grid(step=DAY, range=7 * DAY, lookback=2 * DAY, start=EVENTS_FROM, end=EVENTS_TO)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def grid(spark: SparkSession, sf_dir: str) -> Grid:
+    """Daily ticks from the day of the first event to the day after the last."""
+    at = epoch_seconds(F.col("ts"))
+    above = F.ceil(F.unix_micros(F.col("ts").cast("timestamp")) / (DAY * 1_000_000))
+    ends = table(spark, sf_dir, "events").agg(F.floor(F.min(at) / DAY).alias("first"), F.max(above).alias("last")).first()
+    first, last = (1, 0) if ends["first"] is None else (ends["first"], ends["last"])
+    return Grid(step=DAY, range=7 * DAY, lookback=2 * DAY, start=first * DAY, end=last * DAY)
+
+
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A derived table, written once per application to the shared folder and read from there.
 
@@ -351,7 +358,7 @@ def scraped(events: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame
 
 
 def health(spark: SparkSession, sf_dir: str, keys: list[str] | None = None) -> PathHealth:
-    return PathHealth(samples(spark, sf_dir), mapping(spark, sf_dir), GRID, keys)
+    return PathHealth(samples(spark, sf_dir), mapping(spark, sf_dir), grid(spark, sf_dir), keys)
 
 
 def in_seconds(series: DataFrame) -> DataFrame:

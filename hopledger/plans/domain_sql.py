@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hopledger.plans.domain import DAY, EVENTS_FROM, EVENTS_TO, HARVESTED, NOW_S, WEEK
+from hopledger.plans.domain import DAY, EVENTS_FROM, HARVESTED, NOW_S, WEEK
 from hopledger.plans.registry import fragment
 
 RANGE_S = 7 * DAY
@@ -293,7 +293,11 @@ UNION ALL SELECT 'ALERTS', us, instance, if_index, if_name, iface,
        CASE WHEN event_id % 5 = 0 THEN 'pending' ELSE 'firing' END, 1.0 FROM scrape WHERE event_type = 'error'
 """, "scrape")
 
-fragment("ticks", f"SELECT t_s, t_s * 1000000 AS t FROM range({EVENTS_FROM}, {EVENTS_TO} + 1, {DAY}) r(t_s)")
+fragment("ticks", f"""
+SELECT t_s, t_s * 1000000 AS t FROM (
+  SELECT unnest(range(CAST(epoch(date_trunc('day', min(ts))) AS BIGINT), CAST(epoch(max(ts)) AS BIGINT) + {2 * DAY}, {DAY})) AS t_s FROM events)
+WHERE t_s < (SELECT epoch_us(max(ts)) FROM events) / 1000000.0 + {DAY}
+""")
 
 fragment("instants", f"""
 SELECT s.metric, s.instance, s.if_index, s.if_name, s.iface, s.alertname, s.alertstate, t.t, t.t_s,

@@ -10,7 +10,7 @@ from hopledger.operators.health import BY_IF_NAME, BY_IFACE, SERIES_NAMES, PathH
 from hopledger.operators.mapping import without_direction
 from hopledger.plans import domain as d
 from hopledger.plans.domain_sql import LABELS, LOOKBACK_US, RANGE_US
-from hopledger.plans.registry import fragment, query
+from hopledger.plans.registry import query
 
 KEYS = ["instance", "if_index", "if_name", "iface"]
 KEYS_SQL = "instance, if_index, if_name, iface"
@@ -25,7 +25,7 @@ SELECT {KEYS_SQL}, t_s, sample_us, value FROM instants WHERE metric = 'ifHCInOct
 """, "instants")
 def _(spark, sf_dir):
     rows = s.select_labels(d.samples(spark, sf_dir), metric="ifHCInOctets")
-    return d.in_seconds(s.instant_vector(rows, KEYS, d.GRID))
+    return d.in_seconds(s.instant_vector(rows, KEYS, d.grid(spark, sf_dir)))
 
 
 @query("range_vector", "V3", f"""
@@ -34,7 +34,7 @@ SELECT x.instance, x.if_index, x.if_name, x.iface, t.t_s, count(*) AS n, sum(CAS
 FROM ticks t JOIN samples x ON x.us <= t.t AND x.us > t.t - {RANGE_US} WHERE x.metric = 'ifHCInOctets' GROUP BY ALL
 """, "ticks samples")
 def _(spark, sf_dir):
-    points = s.range_vector(_metric(spark, sf_dir, "ifHCInOctets"), KEYS, d.GRID)
+    points = s.range_vector(_metric(spark, sf_dir, "ifHCInOctets"), KEYS, d.grid(spark, sf_dir))
     total = F.aggregate("points", F.lit(0).cast("bigint"), lambda a, p: a + p["value"].cast("bigint"))
     return points.select(*KEYS, F.expr("t div 1000000").alias("t_s"), F.size("points").cast("bigint").alias("n"),
                          total.alias("total"), F.col("points")[0]["value"].alias("first_value"))
@@ -45,7 +45,7 @@ SELECT metric, {KEYS_SQL}, t_s, round(value * TIE, 6) AS value FROM rates
 """, "rates")
 def _(spark, sf_dir):
     counters = d.samples(spark, sf_dir).filter(~F.col("metric").isin("ALERTS", "ifHighSpeed", "ifOperStatus"))
-    return d.seconds(s.counter_rate(counters, ["metric", *KEYS], d.GRID))
+    return d.seconds(s.counter_rate(counters, ["metric", *KEYS], d.grid(spark, sf_dir)))
 
 
 @query("comparisons", "V5 V6 V7", f"""
@@ -54,8 +54,8 @@ UNION ALL SELECT {KEYS_SQL}, t_s, CASE WHEN value = 1 THEN 1.0 ELSE 0.0 END, 'up
 UNION ALL SELECT {KEYS_SQL}, t_s, value, 'down' FROM instants WHERE metric = 'ifOperStatus' AND value <> 1
 """, "instants")
 def _(spark, sf_dir):
-    speed = s.instant_vector(_metric(spark, sf_dir, "ifHighSpeed"), KEYS, d.GRID)
-    status = s.instant_vector(_metric(spark, sf_dir, "ifOperStatus"), KEYS, d.GRID)
+    speed = s.instant_vector(_metric(spark, sf_dir, "ifHighSpeed"), KEYS, d.grid(spark, sf_dir))
+    status = s.instant_vector(_metric(spark, sf_dir, "ifOperStatus"), KEYS, d.grid(spark, sf_dir))
     parts = [s.scaled(s.compare(speed, ">", 0), 1e6).withColumn("kind", F.lit("speed")),
              s.equals_flag(status, 1).withColumn("kind", F.lit("up")),
              s.compare(status, "!=", 1).withColumn("kind", F.lit("down"))]
@@ -68,7 +68,7 @@ JOIN mapping m ON m.iface = x.iface WHERE x.metric = 'ifHCInOctets'
 """, "instants mapping")
 def _(spark, sf_dir):
     """On the composite key."""
-    one = s.instant_vector(_metric(spark, sf_dir, "ifHCInOctets"), KEYS, d.GRID)
+    one = s.instant_vector(_metric(spark, sf_dir, "ifHCInOctets"), KEYS, d.grid(spark, sf_dir))
     return d.in_seconds(s.fan_out(one, d.mapping(spark, sf_dir), BY_IFACE))
 
 
@@ -79,7 +79,7 @@ WHERE metric IN ('ifOutErrors', 'ifOutDiscards') GROUP BY ALL HAVING count(*) >
 def _(spark, sf_dir):
     """Two metrics taken for one: an interface that has both is no unique side."""
     rows = d.samples(spark, sf_dir).filter(F.col("metric").isin("ifOutErrors", "ifOutDiscards"))
-    both = s.instant_vector(rows, ["metric", *KEYS], d.GRID)
+    both = s.instant_vector(rows, ["metric", *KEYS], d.grid(spark, sf_dir))
     out = s.fan_out_conflicts(both, BY_IF_NAME)
     return out.select(*BY_IF_NAME, F.expr("t div 1000000").alias("t_s"), "copies")
 
@@ -110,7 +110,7 @@ UNION ALL SELECT instance, t_s, 'min', min(value) FROM instants WHERE metric = '
 UNION ALL SELECT instance, t_s, 'sum', sum(value) FROM instants WHERE metric = 'ifHCInOctets' GROUP BY ALL
 """, "instants")
 def _(spark, sf_dir):
-    rows = s.instant_vector(_metric(spark, sf_dir, "ifHCInOctets"), KEYS, d.GRID)
+    rows = s.instant_vector(_metric(spark, sf_dir, "ifHCInOctets"), KEYS, d.grid(spark, sf_dir))
     out = None
     for how in ("max", "min", "sum"):
         part = s.aggregate_by(rows, how, ["instance"]).withColumn("how", F.lit(how))
@@ -120,7 +120,7 @@ def _(spark, sf_dir):
 
 @query("count_by", "V10c", "SELECT instance, if_name, t_s, CAST(value AS DOUBLE) AS value FROM firing", "firing")
 def _(spark, sf_dir):
-    return d.seconds(alert_ticks(d.samples(spark, sf_dir), BY_IF_NAME, d.GRID))
+    return d.seconds(alert_ticks(d.samples(spark, sf_dir), BY_IF_NAME, d.grid(spark, sf_dir)))
 
 
 @query("sum_or_either", "V12", "SELECT app, service, t_s, round(value * TIE, 6) AS value FROM path_errors_rate", "path_errors_rate")
@@ -136,33 +136,30 @@ def _(spark, sf_dir):
     return s.unless(d.mapping(spark, sf_dir), _metric(spark, sf_dir, "ifHCInOctets"), BY_IF_NAME)
 
 
-LAG_S = 345600
-
-
-def _gappy(spark, sf_dir):
-    """Inbound octets with scrapes missing for half of every two weeks."""
-    week = F.expr(f"(unix_seconds(ts) - {d.EVENTS_FROM}) div {d.WEEK}")
-    return _metric(spark, sf_dir, "ifHCInOctets").filter(week % 2 == 1)
-
-
-GAPPY = f"((us // 1000000 - {d.EVENTS_FROM}) // {d.WEEK}) % 2 = 1"
-fragment("gappy", f"SELECT * FROM samples WHERE metric = 'ifHCInOctets' AND us // 1000000 >= {d.EVENTS_FROM} AND {GAPPY}", "samples")
+@query("absent", "V14", """
+SELECT k.metric, k.instance, t.t_s, 1.0::DOUBLE AS value FROM (SELECT DISTINCT metric, instance FROM samples) k, ticks t
+WHERE NOT EXISTS (SELECT 1 FROM instants x WHERE x.metric = k.metric AND x.instance = k.instance AND x.t_s = t.t_s)
+""", "samples ticks instants")
+def _(spark, sf_dir):
+    """Every metric of every device that ever sent it."""
+    return d.seconds(s.absent_series(d.samples(spark, sf_dir), ["metric", "instance"], d.grid(spark, sf_dir)))
 
 
-@query("absent", "V14", f"""
-SELECT t_s, 1.0::DOUBLE AS value FROM ticks t WHERE NOT EXISTS (
-  SELECT 1 FROM gappy x WHERE x.us <= t.t AND x.us > t.t - {LOOKBACK_US})
-""", "ticks gappy")
+@query("absent_feed", "V14", f"""
+SELECT t_s, 1.0::DOUBLE AS value FROM ticks t WHERE t.t NOT IN (
+  SELECT t.t FROM ticks t JOIN samples x ON x.us <= t.t AND x.us > t.t - {LOOKBACK_US} WHERE metric = 'ifHCInOctets')
+""", "ticks samples")
 def _(spark, sf_dir):
-    seen = s.instant_vector(_gappy(spark, sf_dir), KEYS, d.GRID)
-    return d.seconds(s.absent(seen, d.GRID.ticks(spark)))
+    """The whole feed: a row only where no device at all has sent."""
+    return d.seconds(s.absent_series(_metric(spark, sf_dir, "ifHCInOctets"), [], d.grid(spark, sf_dir)))
 
 
 @query("age_of_newest", "V15", """
-SELECT t_s, round((t.t - max(x.us)) / 1000000.0 * TIE, 6)::DOUBLE AS value FROM ticks t JOIN gappy x ON x.us <= t.t GROUP BY t.t, t_s
-""", "ticks gappy")
+SELECT metric, instance, t_s, round((t.t - max(x.us)) / 1000000.0 * TIE, 6)::DOUBLE AS value
+FROM ticks t JOIN samples x ON x.us <= t.t GROUP BY metric, instance, t.t, t_s
+""", "ticks samples")
 def _(spark, sf_dir):
-    return d.seconds(s.age_of_newest(_gappy(spark, sf_dir), d.GRID, d.GRID.ticks(spark)))
+    return d.seconds(s.age_of_newest(d.samples(spark, sf_dir), ["metric", "instance"], d.grid(spark, sf_dir)))
 
 
 # Path health: each derived series against the rule spelled out in SQL.
@@ -208,7 +205,7 @@ FROM (SELECT metric, {KEYS_SQL}, t_s, value FROM rates WHERE metric IN ('ifHCOut
       UNION ALL SELECT metric, {KEYS_SQL}, t_s, value FROM instants WHERE metric = 'ifOperStatus') GROUP BY ALL
 """, "rates instants")
 def _(spark, sf_dir):
-    ticks = interface_ticks(d.samples(spark, sf_dir), ["out_octets", "out_errors", "status"], BY_IF_NAME, d.GRID)
+    ticks = interface_ticks(d.samples(spark, sf_dir), ["out_octets", "out_errors", "status"], BY_IF_NAME, d.grid(spark, sf_dir))
     return ticks.select(*BY_IF_NAME, F.expr("t div 1000000").alias("t_s"), d.rounded(F.col("out_octets")).alias("out_octets"),
                         d.rounded(F.col("out_errors")).alias("out_errors"), "status")
 
@@ -243,11 +240,21 @@ def _state(df, labels):
 
 
 def _alerting(spark, sf_dir, **changes):
-    values = {"samples": d.samples(spark, sf_dir), "mapping": d.mapping(spark, sf_dir), "grid": d.GRID}
+    values = {"samples": d.samples(spark, sf_dir), "mapping": d.mapping(spark, sf_dir), "grid": d.grid(spark, sf_dir)}
     return Alerting(**{**values, **changes})
 
 
-STALE = "SELECT t_s, round((t.t - max(x.us)) / 1000000.0 * TIE, 6)::DOUBLE AS value FROM ticks t JOIN gappy x ON x.us <= t.t GROUP BY t.t, t_s"
+STALE = """
+SELECT instance, t_s, round((t.t - max(x.us)) / 1000000.0 * TIE, 6)::DOUBLE AS value FROM ticks t JOIN samples x ON x.us <= t.t
+WHERE metric = 'ifHCInOctets' GROUP BY instance, t.t, t_s
+"""
+SILENT = """
+SELECT k.instance, t.t_s, 1.0::DOUBLE AS value FROM (SELECT DISTINCT instance FROM {rows}) k, ticks t WHERE NOT EXISTS (
+  SELECT 1 FROM (SELECT DISTINCT instance, t_s FROM ticks JOIN {rows} y ON y.us <= ticks.t AND y.us > ticks.t - {look}) x
+  WHERE x.instance = k.instance AND x.t_s = t.t_s)
+"""
+VIEWS = "(SELECT epoch_us(ts) AS us, 'api-' || user_id AS instance FROM events WHERE event_type = 'view')"
+INBOUND = "(SELECT us, instance FROM samples WHERE metric = 'ifHCInOctets')"
 
 
 @query("hold", "A0", held("app, service", "SELECT app, service, t_s, round(value * TIE, 6) AS value FROM path_hops_down WHERE value > 1"),
@@ -257,16 +264,12 @@ def _(spark, sf_dir):
     return _state(hold(active, ["app", "service"], d.DAY, HOLD_S), ["app", "service"])
 
 
-@query("alert_mapping_absent", "A1", held("", """
-SELECT t_s, 1.0::DOUBLE AS value FROM ticks WHERE t_s NOT IN (
-  SELECT DISTINCT (CAST(floor(epoch(ts)) AS BIGINT) // 86400) * 86400 FROM events WHERE event_type = 'view' AND user_id % 40 = 3)
-"""), "ticks")
+@query("alert_mapping_absent", "A1", held("instance", SILENT.format(rows=VIEWS, look=LOOKBACK_US)), "ticks")
 def _(spark, sf_dir):
-    """The mapping counts as scraped on days with a view by one user in forty."""
-    views = d.table(spark, sf_dir, "events").filter("event_type = 'view' and user_id % 40 = 3")
-    day = s.floor_to(F.unix_micros(F.col("ts").cast("timestamp")), d.DAY * s.MICROS)
-    alerting = _alerting(spark, sf_dir, mapping_ticks=views.select(day.alias("t")))
-    return _state(alerting.alerts("mapping_absent", HOLD_S), [])
+    """Views as scrapes of one mapping feed per user."""
+    views = d.table(spark, sf_dir, "events").filter("event_type = 'view'").select(
+        F.concat(F.lit("api-"), F.col("user_id").cast("string")).alias("instance"), F.col("ts").cast("timestamp").alias("ts"), F.lit(1.0).alias("value"))
+    return _state(_alerting(spark, sf_dir, mapping_samples=views, per=["instance"]).alerts("mapping_absent", HOLD_S), ["instance"])
 
 
 @query("alert_mapping_feed_down", "A2", held("instance", f"""
@@ -284,17 +287,14 @@ def _(spark, sf_dir):
     return _state(_alerting(spark, sf_dir, feeds=feeds).alerts("mapping_feed_down", HOLD_S), ["instance"])
 
 
-@query("alert_counters_absent", "A3", held("", f"""
-SELECT t_s, 1.0::DOUBLE AS value FROM ticks t WHERE NOT EXISTS (
-  SELECT 1 FROM gappy x WHERE x.us <= t.t AND x.us > t.t - {LOOKBACK_US})
-"""), "ticks gappy")
+@query("alert_counters_absent", "A3", held("instance", SILENT.format(rows=INBOUND, look=LOOKBACK_US)), "ticks samples")
 def _(spark, sf_dir):
-    return _state(_alerting(spark, sf_dir, samples=_gappy(spark, sf_dir)).alerts("counters_absent", HOLD_S), [])
+    return _state(_alerting(spark, sf_dir, per=["instance"]).alerts("counters_absent", HOLD_S), ["instance"])
 
 
-@query("alert_counters_stale", "A4", held("", f"SELECT * FROM ({STALE}) WHERE value > 300"), "ticks gappy")
+@query("alert_counters_stale", "A4", held("instance", f"SELECT * FROM ({STALE}) WHERE value > 300"), "ticks samples")
 def _(spark, sf_dir):
-    return _state(_alerting(spark, sf_dir, samples=_gappy(spark, sf_dir)).alerts("counters_stale", HOLD_S), [])
+    return _state(_alerting(spark, sf_dir, per=["instance"]).alerts("counters_stale", HOLD_S), ["instance"])
 
 
 @query("alert_mapping_drift", "A5", held("", """

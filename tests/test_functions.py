@@ -146,3 +146,15 @@ def test_rejected_bodies(spark):
     bodies = spark.createDataFrame([('[{"labels":{}}]',), ("[]",), ('{"labels":{}}',), ('[{"labels":',), (None,), ("[1]",)], "value string")
     assert sorted(r.reason for r in rejected_bodies(bodies).collect()) == ["empty", "malformed", *["not an array of alerts"] * 2]
     assert parse_alerts(bodies).count() == 1
+
+
+def test_percentages_round_the_binary_value(spark):
+    """Against the interpreter's own rounding of every fourth digit from small to large, exact halves among them."""
+    ratios = [k / 100000 for k in range(90000, 180000, 7)] + [0.90125, 0.90375, 0.90035, 1e-6, 1.00005e-6, 9.9995e-3, 0.099995, 0.99995, 9.9995, 99.995, 99.99499999]
+    ratios += [k * 10.0**e for e in range(-19, 14) for k in (1.0, 1.23445, 1.23455, 9.9995, 9.99949999, 5.0005, 7.77777)] + [-x for x in (0.5, 0.90035, 123456.5)]
+    want = ["%.4g" % (x * 100) + "%" for x in ratios]
+    df = spark.createDataFrame([(float(x), w) for x, w in zip(ratios, want)], "x double, want string")
+    bad = df.withColumn("got", t.humanize_percentage(F.col("x"))).filter("got <> want or got is null").collect()
+    assert not bad
+    odd = values(spark, [float("nan"), float("inf"), float("-inf"), 0.0, None], t.humanize_percentage(F.col("x")), "x double")
+    assert odd == ["NaN%", "+Inf%", "-Inf%", "0%", None]
