@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -34,10 +35,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class PairTable:
     """(left id, right id) -> rank of their concatenation, as linear probing over arrays."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], made: Iterable[str] | None = None):
+        """Pairs that make any of ``ranks``, or only the texts of ``made``."""
         pairs = [
             (ranks[token[:cut]] << 20 | ranks[token[cut:]], rank)
-            for token, rank in ranks.items()
+            for token, rank in (ranks.items() if made is None else ((t.encode(), ranks[t.encode()]) for t in made))
             for cut in range(1, len(token))
             if token[:cut] in ranks and token[cut:] in ranks
         ]

@@ -12,7 +12,7 @@ import hashlib
 import heapq
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
@@ -20,12 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from hopledger.llm.byte_bpe import NO_PAIR, PairTable
 from hopledger.llm.common import map_slices, texts_of
 
 SPACE = "▁"
 BAD = "�"
 # Chunks known to a task (characters, with 100 for each chunk) before its memory is emptied; chunks of a text worked on at once.
-CACHE_CHARS, BLOCK_CHUNKS = 10_000_000, 50_000
+CACHE_CHARS, BLOCK_CHUNKS = 25_000_000, 50_000
+# Chunks up to this length are merged together, as padded matrices; longer ones one by one, with a heap.
+MATRIX_CHARS, MATRIX_CELLS = 64, 1 << 19
 # Numbers of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 BPE_MODEL = 2
@@ -194,8 +197,46 @@ class SentencePieces:
         self.beside = {text[k:k + 2] for text in self.ids for k in range(len(text) - 1)}
         inner = any(pair[1] == SPACE != pair[0] for pair in self.beside)
         self.chunk = re.compile("(?s:.+)" if inner else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.known: dict[str, tuple[int, str, bytes, bytes, bytes]] = {}
+        # Symbols: what merging can meet. All pieces, best first, then characters that stand in pieces only.
+        order = sorted(self.ids, key=lambda t: -self.scores[t])
+        order += sorted({c for t in self.ids for c in t} - self.ids.keys())
+        self.number = {text: n for n, text in enumerate(order)}
+        _, rank = np.unique([-self.scores.get(t, -np.inf) for t in order], return_inverse=True)
+        self.rank = rank.astype(np.int32)
+        self.by_point = np.full(0x110000, -1, np.int32)
+        for text, n in self.number.items():
+            if len(text) == 1:
+                self.by_point[ord(text)] = n
+        self.pairs = PairTable({t.encode(): n for t, n in self.number.items()}, self.ids.keys())
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memory of chunks and of characters that no piece holds; while merging, those have the numbers -2, -3, ..."""
+        self.known: dict[str, bytes] = {}
         self.known_chars = 0
+        self.strange: dict[str, int] = {}
+        self.symbols: list[str] = []
+        self.decimal: list[str] = []
+        self.decoded: list[bytes] = []
+        self.flat, self.first, self.count, self.length = (np.empty(0, np.int64) for _ in range(4))
+        self._describe(list(self.number))
+
+    def _describe(self, symbols: list[str]) -> None:
+        """Adds ids, decoded bytes and length of symbols to the tables; an unknown character has an id for each of its bytes."""
+        ids = [[self.ids[t]] if t in self.ids else [self.byte_ids[b] for b in t.encode()] for t in symbols]
+        self.symbols += symbols
+        self.decimal += [",".join(map(str, i)) for i in ids]
+        self.decoded += [self.decode(i, first=False).encode() for i in ids]
+        count = np.array([len(i) for i in ids], np.int64)
+        self.first = np.append(self.first, self.flat.size + np.cumsum(count) - count)
+        self.count, self.flat = np.append(self.count, count), np.append(self.flat, np.array([x for i in ids for x in i], np.int64))
+        self.length = np.append(self.length, np.array([len(t.encode()) for t in symbols], np.int64))
+
+    def _of(self, char: str) -> int:
+        found = self.number.get(char)
+        if found is None:
+            found = self.strange.setdefault(char, -2 - len(self.strange))
+        return found
 
     def merged(self, text: str) -> list[str]:
         """``text`` in pieces: the pair with the highest score is merged first, the leftmost among equals."""
@@ -229,32 +270,96 @@ class SentencePieces:
         ends = [k for k in range(1, len(chunk)) if chunk[k - 1:k + 1] not in self.beside]
         return [chunk[a:b] for a, b in zip([0, *ends], [*ends, len(chunk)], strict=True)]
 
-    def learn(self, chunk: str) -> None:
-        ids: list[int] = []
-        sizes: list[int] = []
-        for run in self.cut(chunk):
-            for piece in [run] if len(run) == 1 else self.merged(run):
-                data = piece.encode()
-                if (known := self.ids.get(piece)) is not None:
-                    ids.append(known)
-                    sizes.append(len(data))
+    def merge_matrix(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(symbol numbers of all chunks, how many each has): a round merges the best pair of every row, the leftmost among equals."""
+        lengths = np.array([len(c) for c in chunks])
+        width, joined = int(lengths.max()), "".join(chunks)
+        flat = self.by_point[np.frombuffer(joined.encode("utf-32-le"), "<u4")]
+        for at in np.flatnonzero(flat == -1).tolist():
+            flat[at] = self._of(joined[at])
+        ids = np.full((len(chunks), width), -1, np.int32)
+        ids[np.arange(width) < lengths[:, None]] = flat
+        out, rows = ids.copy(), np.arange(len(chunks))
+        pair = self.ranked(ids[:, :-1], ids[:, 1:])
+        while rows.size:
+            every = np.arange(rows.size)
+            at = pair.argmin(axis=1) if pair.shape[1] else np.zeros(rows.size, int)
+            go = pair[every, at] != NO_PAIR if pair.shape[1] else np.zeros(rows.size, bool)
+            out[rows[~go], :ids.shape[1]], out[rows[~go], ids.shape[1]:] = ids[~go], -1
+            rows, ids, pair, at = rows[go], ids[go], pair[go], at[go]
+            every, width = np.arange(rows.size), ids.shape[1]
+            if not rows.size:
+                break
+            best = self.pairs.look_up(ids[every, at], ids[every, at + 1])
+            take = np.arange(width - 1)
+            ids[every, at] = best
+            ids = np.take_along_axis(ids, take + (take > at[:, None]), axis=1)
+            pair = np.take_along_axis(pair, take[:-1] + (take[:-1] >= at[:, None]), axis=1)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+            if pair.shape[1]:
+                pair[before, at[before] - 1] = self.ranked(ids[before, at[before] - 1], best[before])
+                pair[after, at[after]] = self.ranked(best[after], ids[after, at[after] + 1])
+        held = out != -1
+        return out[held], held.sum(axis=1)
+
+    def ranked(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of the pieces that two symbols make together; equal scores have equal ranks."""
+        found = self.pairs.look_up(left, right)
+        return np.where(found == NO_PAIR, NO_PAIR, self.rank[np.where(found == NO_PAIR, 0, found)])
+
+    def learn(self, chunks: set[str]) -> None:
+        """Chunk -> its symbol numbers as bytes; unknown characters get numbers after those of the model."""
+        classes: dict[int, list[str]] = {}
+        for chunk in chunks:
+            classes.setdefault((len(chunk) - 1).bit_length(), []).append(chunk)
+            self.known_chars += len(chunk) + 100
+        base = len(self.number)
+        for bits, members in classes.items():
+            step = MATRIX_CELLS >> bits if 1 << bits <= MATRIX_CHARS else 1
+            for k in range(0, len(members), step):
+                part = members[k:k + step]
+                if 1 << bits <= MATRIX_CHARS:
+                    flat, sizes = self.merge_matrix(part)
                 else:
-                    # The last byte of an unknown character stands for all of it.
-                    ids += [self.byte_ids[b] for b in data]
-                    sizes += [0] * (len(data) - 1) + [len(data)]
-        self.known[chunk] = (len(ids), ",".join(map(str, ids)), self.decode(ids, first=False).encode(), np.array(ids, np.int32).tobytes(),
-                             np.array(sizes, np.int64).tobytes())
-        self.known_chars += len(chunk) + 100
-
-    def encode(self, text: str) -> Iterator[list[tuple[int, str, bytes, bytes, bytes]]]:
-        """A normalised text as blocks of chunks: (number of ids, decimal ids, decoded bytes, ids, lengths in normalised bytes)."""
-        chunks = map(re.Match.group, self.chunk.finditer(text))
-        while block := list(islice(chunks, BLOCK_CHUNKS)):
+                    pieces = [p for run in self.cut(part[0]) for p in ([run] if len(run) == 1 else self.merged(run))]
+                    flat, sizes = np.array([self._of(p) for p in pieces], np.int32), [len(pieces)]
+                data, at = np.where(flat < 0, base - 2 - flat, flat).astype(np.int32).tobytes(), 0
+                for chunk, end in zip(part, (4 * np.cumsum(sizes)).tolist(), strict=True):
+                    self.known[chunk] = data[at:end]
+                    at = end
+        if len(self.symbols) < base + len(self.strange):
+            self._describe(list(self.strange)[len(self.symbols) - base:])
+
+    def look(self, chunks: list[str]) -> tuple[str, bytes, np.ndarray, np.ndarray]:
+        """(decimal ids, decoded bytes, ids, lengths in normalised bytes) of known chunks; the last byte of a character stands for all of it."""
+        numbers = np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), np.int32)
+        listed = numbers.tolist()
+        count = self.count[numbers]
+        ends = np.cumsum(count)
+        if ends[-1] == numbers.size:
+            ids, sizes = self.flat[self.first[numbers]], self.length[numbers]
+        else:
+            ids = self.flat[np.repeat(self.first[numbers] - ends + count, count) + np.arange(ends[-1])]
+            sizes = np.zeros(ids.size, np.int64)
+            sizes[ends - 1] = self.length[numbers]
+        return ",".join(map(self.decimal.__getitem__, listed)), b"".join(map(self.decoded.__getitem__, listed)), ids, sizes
+
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """Chunks of normalised texts, all of them learned; for texts that are held at once."""
+        if self.known_chars > CACHE_CHARS:
+            self.forget()
+        chunks = list(map(self.chunk.findall, texts))
+        self.learn(set().union(*chunks).difference(self.known))
+        return chunks
+
+    def blocks(self, text: str) -> Iterator[list[str]]:
+        """The same for one long text, some chunks at a time."""
+        found = map(re.Match.group, self.chunk.finditer(text))
+        while block := list(islice(found, BLOCK_CHUNKS)):
             if self.known_chars > CACHE_CHARS:
-                self.known, self.known_chars = {}, 0
-            for chunk in set(block).difference(self.known):
-                self.learn(chunk)
-            yield list(map(self.known.__getitem__, block))
+                self.forget()
+            self.learn(set(block).difference(self.known))
+            yield block
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ``ids``: the blank before the first piece goes, runs of byte pieces are read as UTF-8, bad bytes become U+FFFD."""
@@ -322,23 +427,24 @@ def encode_texts(df: DataFrame, model: str, keep: str = "doc_id long", text: str
         pieces = _model(digest, shipped)
         blank = b" " if pieces.normalise.dummy or pieces.normalise.squeeze else None
 
-        def one(source: str) -> tuple:
-            normal, origin = pieces.normalise(source)
+        def one(blocks: Iterable[list[str]], origin: np.ndarray) -> tuple:
             count, position, parts, spans = 0, 0, [], []
             of_ids, of_text, of_spans = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
-            for block in pieces.encode(normal):
-                decimal, decoded = ",".join([c[1] for c in block]), b"".join([c[2] for c in block])
+            for block in blocks:
+                decimals, decoded, ids, sizes = pieces.look(block)
                 if not position and blank and decoded.startswith(blank):
                     decoded = decoded[1:]
-                of_ids.update(("," if position else "").encode() + decimal.encode())
+                of_ids.update(("," if position else "").encode() + decimals.encode())
                 of_text.update(decoded)
-                ends = position + np.cumsum(np.frombuffer(b"".join([c[4] for c in block]), np.int64))
+                ends = position + np.cumsum(sizes)
                 count += ends.size
-                span = np.stack([origin[np.append(position, ends[:-1])], origin[ends]], axis=1)
+                at = np.append(position, ends)
+                places = origin[at]
+                span = np.stack([places[:-1], places[1:]], axis=1)
                 of_spans.update(span.tobytes())
-                position = int(ends[-1])
+                position = int(at[-1])
                 if with_ids:
-                    parts.append(np.frombuffer(b"".join([c[3] for c in block]), np.int32))
+                    parts.append(ids.astype(np.int32))
                     spans.append(span)
             row = count, of_ids.hexdigest(), of_text.hexdigest(), of_spans.hexdigest()
             if not with_ids:
@@ -350,7 +456,12 @@ def encode_texts(df: DataFrame, model: str, keep: str = "doc_id long", text: str
         names = [c.split()[0] for c in schema.split(", ")]
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = list(zip(*map(one, texts_of(batch, text)), strict=True))
+            normals = [pieces.normalise(t) for t in texts_of(batch, text)]
+            if len(normals) > 1:
+                blocks = [[c] if c else [] for c in pieces.split([n for n, _ in normals])]
+            else:
+                blocks = [pieces.blocks(n) for n, _ in normals]
+            rows = list(zip(*(one(b, origin) for b, (_, origin) in zip(blocks, normals, strict=True)), strict=True))
             return pa.RecordBatch.from_arrays([batch.column(name), *map(pa.array, rows, types)], names)
 
         return work
