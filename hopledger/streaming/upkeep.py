@@ -29,16 +29,17 @@ def enrichment(
 
 def catalog_upkeep(
     path: str, observed_at: Callable[[int], int], device_label: str | None = None,
-    read_inventory: Callable[[], DataFrame] | None = None, vendor: str = "",
+    read_inventory: Callable[[], DataFrame] | None = None, vendor: str = "", order: tuple[str, ...] = (),
 ) -> Writer:
     """W9, for ``foreachBatch``: harvest, build and refresh into a new version of the catalog table.
 
-    A batch that runs again overwrites its own rows with the same values.
+    Of several observations of an interface in a batch the last by ``order`` counts, ties by a hash of the row. A batch that runs again
+    overwrites its own rows with the same values.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
         rows = harvest_interfaces(batch, device_label)
-        ordered = rows.withColumn("ord", F.xxhash64(*rows.columns))
+        ordered = rows.withColumn("ord", F.struct(*order, F.xxhash64(*rows.columns).alias("_hash")))
         ok, _ = build_catalog(ordered, observed_at(batch_id), read_inventory() if read_inventory else None, vendor)
         new = latest_per_identity(ok)
         old = read_version(batch.sparkSession, path)

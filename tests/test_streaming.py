@@ -1,12 +1,13 @@
 import json
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from hopledger.operators.alerting import hold
 from hopledger.operators.series import MICROS, Grid, counter_rate
-from hopledger.sources.sinks import read_version
-from hopledger.streaming.series import attribute, parquet_batches, stream_rates
+from hopledger.sources.sinks import claim_version, newest_version, read_version, write_version
+from hopledger.streaming.series import attribute, parquet_batches, pinned_table, stream_rates
 from hopledger.streaming.state import stream_absence, stream_hold, stream_stable_labels
 from hopledger.streaming.upkeep import catalog_upkeep, enrichment
 from tests.test_enrich import AT, NEVER
@@ -61,7 +62,7 @@ def test_rates_equal_batch_and_late_samples_change_nothing(spark, tmp_path):
 def test_attribution_uses_the_mapping_of_the_moment(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", "iface string, t bigint, value double")
     current = {"app": "old"}
-    read = lambda: spark.createDataFrame([("i1", current["app"])], "iface string, app string")
+    read = lambda batch, batch_id: spark.createDataFrame([("i1", current["app"])], "iface string, app string")
     each = attribute(read, ["iface"], parquet_batches(str(tmp_path / "out")))
     for app, t in (("old", 1), ("new", 2)):
         current["app"] = app
@@ -71,6 +72,28 @@ def test_attribution_uses_the_mapping_of_the_moment(spark, tmp_path):
     assert {(r.t, r.app) for r in rows} == {(1, "old"), (2, "new")}
 
 
+def test_a_batch_that_runs_again_keeps_its_mapping(spark, tmp_path):
+    versions, out = str(tmp_path / "mapping"), str(tmp_path / "out")
+    each = attribute(pinned_table(versions, str(tmp_path / "pins")), ["iface"], parquet_batches(out))
+    ticks = spark.createDataFrame([("i1", 1, 1.0)], "iface string, t bigint, value double")
+    with pytest.raises(ValueError, match="no whole version"):
+        each(ticks, 0)
+    publish = lambda app: write_version(spark.createDataFrame([("i1", app)], "iface string, app string"), versions)
+    assert publish("old") == 1
+    each(ticks, 0)
+    assert publish("new") == 2
+    each(ticks, 1)
+    each(ticks, 0)  # after a failure the batch is run again
+    assert sorted((r.batch, r.app) for r in spark.read.parquet(out).collect()) == [(0, "old"), (1, "new")]
+
+
+def test_two_writers_take_two_versions(spark, tmp_path):
+    path = str(tmp_path / "table")
+    first, second = claim_version(spark, path), claim_version(spark, path)
+    assert (first, second) == (1, 2) and newest_version(spark, path) is None
+    assert write_version(spark.range(3), path) == 3 and newest_version(spark, path) == 3
+
+
 def test_hold_across_batches_equals_batch(spark, tmp_path):
     feed = Feed(spark, tmp_path / "in", "l string, sec bigint")
     ticks = {"x": [60, 120, 180, 240, 360, 420, 480, 540], "y": [180, 300]}

@@ -132,6 +132,8 @@ def test_selectors_are_real_pairs_in_numeric_order(spark):
 
 def test_tenant_append(spark, tmp_path):
     path = str(tmp_path / "series")
-    for value in (1.0, 2.0):
-        append_series(spark.createDataFrame([(value,)], "value double"), "t1", path)
+    for batch, value in ((0, 1.0), (1, 2.0), (1, 2.0)):  # the last batch is run again
+        append_series(spark.createDataFrame([(value,)], "value double"), "t1", path, batch)
+    assert spark.read.parquet(path).count() == 2
+    assert spark.read.parquet(path).count() == 2
     assert {(r.value, r.tenant) for r in spark.read.parquet(path).collect()} == {(1.0, "t1"), (2.0, "t1")}
