@@ -6,6 +6,7 @@ slots. Every family has one machine against the rest; every pair of languages of
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -69,16 +70,22 @@ def features(texts: list[str]) -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def machine(x: np.ndarray, sign: np.ndarray, steps: int = 120, loss: float = 30.0) -> np.ndarray:
-    """Weights (bias last) of a linear support vector machine: squared hinge, balanced classes, accelerated gradient."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+def machine(blocks: list[np.ndarray], sign: np.ndarray, steps: int = 120, loss: float = 30.0) -> np.ndarray:
+    """Weights (bias last) of a linear support vector machine: squared hinge, balanced classes, accelerated gradient.
+
+    ``blocks`` are views of the rows to fit on, one below the other; they are not copied.
+    """
     share = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum())).astype(np.float32)
-    w = before = np.zeros(x.shape[1], np.float32)
+    ends = np.cumsum([len(x) for x in blocks])
+    spans = list(zip((ends - [len(x) for x in blocks]).tolist(), ends.tolist(), strict=True))
+    w = before = np.zeros(blocks[0].shape[1] + 1, np.float32)
     rate = 1.0 / (1.0 + 4.0 * loss)
     for k in range(steps):
-        at = w + (k / (k + 3.0)) * (w - before)
-        short = np.maximum(0.0, 1.0 - sign * (x @ at))
-        before, w = w, (at - rate * (at - 2.0 * loss * (x.T @ (share * short * sign)))).astype(np.float32)
+        at = w + np.float32(k / (k + 3.0)) * (w - before)
+        margin = np.concatenate([x @ at[:-1] for x in blocks]) + at[-1]
+        pull = share * np.maximum(0.0, 1.0 - sign * margin).astype(np.float32) * sign
+        slope = np.append(sum(x.T @ pull[a:b] for x, (a, b) in zip(blocks, spans, strict=True)), pull.sum())
+        before, w = w, (at - rate * (at - 2.0 * loss * slope)).astype(np.float32)
     return w
 
 
@@ -92,18 +99,19 @@ class Languages:
 
     @staticmethod
     def fit(x: np.ndarray, langs: list[str]) -> Languages:
+        """Rows of ``x`` must be in the order of their language."""
         groups: dict[str, list[str]] = {}
         for lang in sorted(set(langs)):
             groups.setdefault(_FAMILY_OF.get(lang, lang), []).append(lang)
-        names = np.array(langs)
+        rows = {lang: slice(bisect_left(langs, lang), bisect_right(langs, lang)) for lang in set(langs)}
         of = np.array([_FAMILY_OF.get(lang, lang) for lang in langs])
         sign = lambda mask: np.where(mask, 1.0, -1.0).astype(np.float32)
-        rest = [machine(x, sign(of == f)) for f in groups] if len(groups) > 1 else [np.zeros(x.shape[1] + 1, np.float32)] * len(groups)
+        rest = [machine([x], sign(of == f)) for f in groups] if len(groups) > 1 else [np.zeros(x.shape[1] + 1, np.float32)] * len(groups)
         pairs = {}
         for members in groups.values():
             for a, b in combinations(members, 2):
-                rows = (names == a) | (names == b)
-                pairs[a, b] = machine(x[rows], sign(names[rows] == a))
+                first, second = x[rows[a]], x[rows[b]]
+                pairs[a, b] = machine([first, second], sign(np.arange(len(first) + len(second)) < len(first)))
         return Languages(list(groups.items()), np.array(rest), pairs)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -156,18 +164,27 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Languages:
             texts = texts_of(batch)
             rows = has_letters(texts)
             values = features(texts)[rows]
-            return pa.RecordBatch.from_arrays(
-                [batch.column("lang").filter(pa.array(rows)), pa.array(list(values), pa.list_(pa.float32()))], ["lang", "values"])
+            row, slot = np.nonzero(values)
+            offsets = pa.array(np.searchsorted(row, np.arange(len(values) + 1)), pa.int32())
+            return pa.RecordBatch.from_arrays([
+                batch.column("lang").filter(pa.array(rows)), pa.ListArray.from_arrays(offsets, pa.array(slot, pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(values[row, slot]))], ["lang", "slots", "values"])
 
         return work
 
-    found = map_slices(chosen.select("lang", "text"), "text", "lang string, values array<float>", make).toArrow()
+    # Only slots in use are sent to the driver, and one matrix is filled from them.
+    found = map_slices(chosen.select("lang", "text"), "text", "lang string, slots array<int>, values array<float>", make).toArrow()
     if not found.num_rows:
         return Languages([], np.empty((0, 0)), {})
-    values = found.column("values").combine_chunks().flatten().to_numpy().reshape(found.num_rows, DIMENSIONS)
-    langs = found.column("lang").to_pylist()
-    order = sorted(range(len(langs)), key=lambda k: (langs[k], values[k].tobytes()))
-    return Languages.fit(values[order], [langs[k] for k in order])
+    rows = [(lang, slots.values.to_numpy(), values.values.to_numpy()) for batch in found.to_batches() for lang, slots, values in zip(
+        batch.column("lang").to_pylist(), batch.column("slots"), batch.column("values"), strict=True)]
+    rows.sort(key=lambda r: (r[0], r[1].tobytes(), r[2].tobytes()))
+    x, langs = np.zeros((len(rows), DIMENSIONS), np.float32), [r[0] for r in rows]
+    for k, (_, slots, values) in enumerate(rows):
+        x[k, slots] = values
+    del found, rows, slots, values
+    pa.default_memory_pool().release_unused()
+    return Languages.fit(x, langs)
 
 
 def identify(docs: DataFrame, languages: Languages, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
