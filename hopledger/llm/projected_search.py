@@ -15,9 +15,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hopledger.llm.vectors import best_of_shards, leading, usable
+from hopledger.llm.vectors import NO_ID, best_of_shards, usable
 
 SHARD_ROWS, LEAF_ROWS, PROJECTIONS, SURE = 8192, 256, 8, 0.95
+# Squared distances and scores within this share of the squared norm may be equal in exact arithmetic.
+NEAR = 1e-12
 
 
 def chi_square_quantile(p: float, m: int) -> float:
@@ -72,29 +74,41 @@ class Projected:
             turn = order[active, step:step + width]
             # The test comes before each leaf: distance^2 of the k-th best is norm^2 + |q|^2 - 2 * score.
             far = self.norm**2 + norms[active] - 2 * top[active, -1]
-            wanted = ~(np.take_along_axis(reach[active], turn, axis=1) >= quantile * far[:, None])
+            # Points that look equally far are still to come: they may have smaller ids.
+            wanted = np.take_along_axis(reach[active], turn, axis=1) <= quantile * (far[:, None] + NEAR * self.norm**2)
             active, turn, wanted = (x[wanted.any(axis=1)] for x in (active, turn, wanted))
             pairs = np.argwhere(wanted)
             leaf_of = turn[wanted]
             for leaf in np.unique(leaf_of):
                 who = active[pairs[leaf_of == leaf, 0]]
-                rows = self.leaves[leaf]
-                scores = q[who] @ self.c[rows].T
-                scores[q_ids[who][:, None] == c_ids[rows][None]] = -np.inf
-                if scores.shape[1] > k:
-                    kept = np.argpartition(-scores, k, axis=1)[:, :k + 1] if scores.shape[1] > k + 1 else np.tile(np.arange(scores.shape[1]), (who.size, 1))
-                else:
-                    kept = np.tile(np.arange(scores.shape[1]), (who.size, 1))
-                both = np.concatenate([top[who], np.take_along_axis(scores, kept, axis=1)], axis=1)
-                place = np.concatenate([where[who], rows[kept]], axis=1)
-                best = np.argsort(-both, axis=1, kind="stable")[:, :k]
-                top[who], where[who] = np.take_along_axis(both, best, axis=1), np.take_along_axis(place, best, axis=1)
+                self._merge(q, q_ids, c_ids, who, self.leaves[leaf], top, where)
             step += width
             width = min(8, width * 2)
         real = top > -np.inf
         return np.nonzero(real)[0], where[real], top[real]
 
 
+    def _merge(self, q, q_ids, c_ids, who: np.ndarray, rows: np.ndarray, top: np.ndarray, where: np.ndarray) -> None:
+        """Takes a leaf's points into the best of the queries ``who``: by exact score, ties to the smaller position (that is, id)."""
+        k = top.shape[1]
+        scores = q[who] @ self.c[rows].T
+        scores[q_ids[who][:, None] == c_ids[rows][None]] = -np.inf
+        # The fast product only proposes: what may belong to the best is measured again, always in the order of the components.
+        both = np.concatenate([top[who], scores], axis=1)
+        cut = np.partition(both, both.shape[1] - k, axis=1)[:, both.shape[1] - k]
+        at, column = np.nonzero(scores >= (cut - NEAR * self.norm**2)[:, None])
+        at, column = at[scores[at, column] > -np.inf], column[scores[at, column] > -np.inf]
+        old, slot = np.nonzero(where[who] >= 0)
+        row = np.r_[old, at]
+        place = np.r_[where[who][old, slot], rows[column]]
+        score = np.r_[top[who][old, slot], exact_products(q, who[at], self.c, rows[column])]
+        order = np.lexsort((place, -score, row))
+        row, place, score = row[order], place[order], score[order]
+        rank = np.arange(row.size) - np.searchsorted(row, row)
+        keep = rank < k
+        top[who[row[keep]], rank[keep]], where[who[row[keep]], rank[keep]] = score[keep], place[keep]
+
+
 def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS, sure: float = SURE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the nearest found by inner product in double precision, nearest first, ties to smaller vec_id.
 
@@ -106,14 +120,10 @@ def nearest(embeddings: DataFrame, every: int = 20, k: int = 20, shard_rows: int
     most = vectors.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0
 
     def search(q_ids, q, c_ids, c):
-        if len(c) <= max(4 * k, LEAF_ROWS):
-            found = [(np.flatnonzero(c_ids != own), row) for own, row in zip(q_ids, q, strict=True)]
-            best = [(rows[leading(c[rows] @ row, c_ids[rows], k)], row) for rows, row in found]
-            at = np.repeat(np.arange(len(best)), [b.size for b, _ in best])
-            where = np.concatenate([b for b, _ in best])
-        else:
-            at, where, _ = Projected(c, most).search(q, q_ids, c_ids, k, sure)
-        return at, where, exact_products(q, at, c, where)
+        # By id, rows without one last: equal scores then go by position.
+        order = np.argsort(np.where(c_ids == NO_ID, np.iinfo(np.int64).max, c_ids), kind="stable")
+        at, where, score = Projected(c[order], most).search(q, q_ids, c_ids[order], k, sure)
+        return at, order[where], score
 
     return best_of_shards(vectors, every, k, shard_rows, "double", search)
 
