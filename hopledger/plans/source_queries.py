@@ -101,17 +101,34 @@ def _(spark, sf_dir):
     return read.select("file", "app", "owner", second.alias("second_hop"), F.col("parse_error").isNull().alias("parsed"))
 
 
-@query("declarations_from_json", "S6", """
-SELECT file, CASE WHEN part % 5 <> 0 THEN app END AS app, CASE WHEN part % 5 <> 0 THEN dep_count ELSE 0 END AS dep_count,
-       CASE WHEN part % 5 = 0 THEN 'unknown key runz_as' END AS parse_error FROM doc
+FAULTS = """
+CASE WHEN part % 5 = 0 THEN 'declaration: unknown key ''runz_as'''
+     WHEN part % 7 = 1 AND dep_count > 0 THEN array_to_string(
+       ['declaration.depends_on[' || i || ']: unknown key ''too''' FOR i IN range(dep_count)], '; ')
+     WHEN part % 11 = 2 AND dep_count > 0 THEN
+       CASE WHEN part % 37 <> 0 THEN 'declaration.depends_on[0].path.hops: expected a list; ' ELSE '' END
+       || 'declaration.depends_on[1].paths[0].hops: expected a list; declaration.depends_on[1].paths[1].hops: expected a list'
+     WHEN part % 13 = 3 THEN 'declaration.owner: expected text' END
+"""
+
+
+@query("declarations_from_json", "S6", f"""
+SELECT file, CASE WHEN parse_error IS NULL THEN app END AS app, CASE WHEN parse_error IS NULL THEN dep_count ELSE 0 END AS dep_count,
+       parse_error FROM (SELECT *, {FAULTS} AS parse_error FROM doc)
 """, "doc")
 def _(spark, sf_dir):
-    """Each declaration as JSON text, every fifth part with a misspelt key."""
+    """Each declaration as JSON text, some with faults at one level or another."""
     fields = [f for f in DECL_READ.names if f not in ("file", "parse_error")]
-    part = F.split_part("file", F.lit("-"), F.lit(4)).cast("bigint")
+    part, value = F.split_part("file", F.lit("-"), F.lit(4)).cast("bigint"), F.col("value")
     typo = F.when(part % 5 == 0, F.lit("x")).alias("runz_as")
     rows = d.declarations(spark, sf_dir).select("file", F.to_json(F.struct(*fields, typo)).alias("value"))
-    return declarations_from_json(rows).select(
+    spoilt = (
+        F.when(part % 5 == 0, value)
+        .when((part % 7 == 1) & value.contains('"to":'), F.replace(value, F.lit('"to":'), F.lit('"too":')))
+        .when((part % 11 == 2) & value.contains('"to":'), F.regexp_replace(value, '"hops":\\[[^\\]]*\\]', '"hops":3'))
+        .when(part % 13 == 3, F.regexp_replace(value, '"owner":("[^"]*")', '"owner":[$1]')).otherwise(value)
+    )
+    return declarations_from_json(rows.withColumn("value", spoilt)).select(
         "file", "app", F.size(F.coalesce("depends_on", F.array())).cast("bigint").alias("dep_count"), "parse_error")
 
 

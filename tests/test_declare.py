@@ -75,7 +75,27 @@ def test_json_declarations(spark):
     rows = spark.createDataFrame([("f1", '{"app":"a","depends_on":[{"to":"b","paths":[{"hops":[]}]}]}'), ("f2", '{"ap":"a"}'), ("f3", "[]")],
                                  "file string, value string")
     got = {r.file: (r.app, r.parse_error) for r in declarations_from_json(rows).collect()}
-    assert got == {"f1": ("a", None), "f2": (None, "unknown key ap"), "f3": (None, "not a JSON object")}
+    assert got == {"f1": ("a", None), "f2": (None, "declaration: unknown key 'ap'"), "f3": (None, "declaration: expected a mapping")}
+
+
+def test_json_is_strict_at_every_level(spark):
+    dep = '{"app":"a","depends_on":[{"to":"b","path":null},%s]}'
+    cases = {
+        dep % '{"to":"b","paht":{"hops":[]}}': "declaration.depends_on[1]: unknown key 'paht'",
+        dep % '{"to":"b","path":{"hops":3}}': "declaration.depends_on[1].path.hops: expected a list",
+        dep % '{"to":"b","paths":[{"hops":[{"device":"r","iff":"x"}]}]}': "declaration.depends_on[1].paths[0].hops[0]: unknown key 'iff'",
+        dep % '{"to":["b"],"path":[],"x":1,"A":2}':
+            "declaration.depends_on[1]: unknown key 'A'; declaration.depends_on[1]: unknown key 'x'; "
+            "declaration.depends_on[1].to: expected text; declaration.depends_on[1].path: expected a mapping",
+        dep % '"b"': "declaration.depends_on[1]: expected a mapping",
+        '{"app":"a","consumed_by_customers":"acme"}': "declaration.consumed_by_customers: expected a list",
+        '{"app":"a","app":"b"}': "declaration: no JSON, or a key is given twice", "{": "declaration: no JSON, or a key is given twice",
+        "": "declaration: empty", "null": "declaration: empty", '{"app":7,"owner":true}': None, "{}": None,
+    }
+    rows = spark.createDataFrame([(str(k), v) for k, v in enumerate([*cases, None])], "file string, value string")
+    got = {int(r.file): (r.parse_error, r.app) for r in declarations_from_json(rows).collect()}
+    assert [got[k][0] for k in range(len(cases) + 1)] == [*cases.values(), "declaration: empty"]
+    assert got[10] == (None, "7")
 
 
 def test_sugar_path_comes_first(spark):
