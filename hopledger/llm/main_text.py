@@ -1,15 +1,14 @@
-"""Main text of pages: markup drops what it names, a suffix array over the pages of a host decides every other block.
-
-Markup drops a block inside a menu, notice, form or the like. All other blocks, inside and outside articles, are decided by repetition: the
-texts of a host's pages are concatenated, their suffix array puts equal passages beside each other, and a passage of ``LEAST_TOKENS`` tokens
-in ``LEAST_PAGES`` different texts is boilerplate. A block that such passages cover is removed, what is unique stays. Inside articles
-different article texts are counted and outside them different page texts, so copies of an article or of a page count once and stay; an
-article of which more than half is repeated is a copy with small changes and stays too.
-
-Hosts are cut into shards of at most about ``SHARD_PAGES`` pages, so no task holds a whole large host, but passages are counted over the host:
-each shard sends a hash and the number of different texts of each class of its suffix array, parts of the hash space add them up and send back
-what is repeated. Hashes are so long that for a shard of 131,072 passages 5e-10 of the passages count as repeated by chance, whatever
-the size of the host.
+"""Main text of pages: markup drops what it names and keeps articles, a suffix array over the pages of a host decides every other block.
+
+A block inside a menu, notice, form or the like is dropped, what else stands inside an article is kept. All other blocks are decided by
+repetition: the texts of a host's pages are concatenated, their suffix array puts equal passages beside each other, and a passage of
+``LEAST_TOKENS`` tokens on ``LEAST_PAGES`` different pages is boilerplate. A block that such passages cover is removed, what is unique stays.
+Copies of a page count once, so they stay.
+
+A class name that only hints at a menu or notice (``has-sidebar``) drops nothing of an article; around one it drops, and on a page without
+an article repetition decides. Only pages with undecided blocks are shuffled. Hosts are cut into shards of at most about ``SHARD_PAGES``
+of them, so no task holds a whole large host, but passages are counted over the host: shards send 64-bit hashes and the number of different
+pages of each class of their suffix array, Spark adds them up and sends back those that are repeated.
 """
 
 from __future__ import annotations
@@ -27,8 +26,8 @@ from xxhash import xxh3_64_intdigest
 from hopledger.llm.common import kept, map_slices, texts_of
 
 SHARD_PAGES, LEAST_TOKENS, LEAST_PAGES, COVERED = 128, 6, 3, 0.8
-# Length of a passage's hash on a host of one shard, a bit more for each doubling; bytes of pages whose passages one task adds up.
-HASH_BITS, PART_BYTES = 32, 8 << 20
+# What markup says of a block.
+NOTHING, HINTED, NAMED = range(3)
 # Text elements, which hold no markup and run to the end of the page when unclosed.
 _RAW = "script|style|textarea|title"
 _TAG = re.compile(
@@ -38,6 +37,7 @@ _TAG = re.compile(
 )
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_OPEN = re.compile(r"""(?:^|\s)open(?:\s|=|/|$)""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 _SPACE = re.compile(r"\s+")
 # Elements of HTML by their role.
@@ -61,23 +61,28 @@ _CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr"
 _SCOPE = frozenset("ul ol dl table tbody thead tfoot tr div section article main body aside nav footer header form blockquote".split())
 
 
-def _is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
+def _mark(tag: str, attributes: str, in_article: bool) -> int:
+    if tag == "dialog":
+        return HINTED if _OPEN.search(attributes) else NAMED
     if tag in DROPPED or tag == "header" and not in_article:
-        return True
+        return NAMED
     if not attributes or tag in ("html", "body", "h1"):
-        return False
+        return NOTHING
     if _HIDDEN.search(attributes):
-        return True
+        return NAMED
+    found = NOTHING
     for name, a, b, c in _NAMED.findall(attributes):
         value = a or b or c
         if name.lower() == "role":
             if value.lower() in ROLES:
-                return True
+                return NAMED
         elif tag not in ("article", "main"):
-            words = {w.lower() for w in _PART.findall(value)}
-            if words & MARKS or not in_article and words & HEADINGS:
-                return True
-    return False
+            wanted = MARKS if in_article else MARKS | HEADINGS
+            if wanted.intersection(value.lower().split()):
+                return NAMED
+            if wanted.intersection(w.lower() for w in _PART.findall(value)):
+                found = HINTED
+    return found
 
 
 def _embedded(tags: list[re.Match[str]]) -> dict[int, int]:
@@ -101,18 +106,22 @@ def _embedded(tags: list[re.Match[str]]) -> dict[int, int]:
 
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
     """(text, in article, dropped by markup) of every block with text, in page order."""
-    out: list[tuple[str, bool, bool]] = []
+    out: list[tuple[str, bool, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, in article, dropped
-    in_article = dropped = False
-    at = 0
+    stack: list[tuple[str, bool, int, int]] = []  # tag, in article, mark with all around it, its own mark
+    in_article, mark, at = False, NOTHING, 0
 
     def close_block() -> None:
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                out.append((text, in_article, dropped))
+                out.append((text, in_article, mark))
+
+    def leave(place: int) -> None:
+        nonlocal in_article, mark
+        del stack[place:]
+        in_article, mark = stack[-1][1:3] if stack else (False, NOTHING)
 
     tags = list(_TAG.finditer(page))
     embedded = _embedded(tags) if any((m.group(3) or m.group(6) or "").lower() in EMBEDDED for m in tags) else {}
@@ -130,11 +139,10 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             continue
         if m.group(2) or m.group(5):
             place = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if tag in BLOCK or place is not None and stack[place][2] != dropped:
+            if tag in BLOCK or place is not None and stack[place][2] != mark:
                 close_block()
             if place is not None:
-                del stack[place:]
-                in_article, dropped = stack[-1][1:] if stack else (False, False)
+                leave(place)
             continue
         attributes = m.group(4) or m.group(7) or ""
         if tag in BLOCK:
@@ -143,22 +151,26 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             for k in range(len(stack) - 1, -1, -1):
                 name = stack[k][0]
                 if name == "p" or name in closes:
-                    del stack[k:]
-                    in_article, dropped = stack[-1][1:] if stack else (False, False)
+                    leave(k)
                 elif name in _SCOPE:
                     break
         if tag in VOID or tag in EMBEDDED:
             continue
-        is_main = tag in ("article", "main")
-        inner = in_article or is_main and (not dropped or all(not d or t == "form" for t, _, d in stack))
-        gone = (dropped and not (is_main and inner)) or _is_dropped(tag, attributes, in_article)
-        if (inner, gone) != (in_article, dropped):
+        # An article counts unless something around it is named; a form may hold the whole page.
+        begins = tag in ("article", "main") and all(own < NAMED or t == "form" for t, _, _, own in stack)
+        own = _mark(tag, attributes, in_article)
+        if in_article and own == HINTED:
+            own = NOTHING
+        level = own if begins else max(mark, own)
+        inner = (in_article or begins) and level < NAMED
+        if (inner, level) != (in_article, mark):
             close_block()
-        stack.append((tag, inner and not gone, gone))
-        in_article, dropped = inner and not gone, gone
+        stack.append((tag, inner, level, own))
+        in_article, mark = inner, level
     parts.append(page[at:])
     close_block()
-    return out
+    has_article = any(inside for _, inside, _ in out)
+    return [(text, inside, found == NAMED or found == HINTED and has_article and not inside) for text, inside, found in out]
 
 
 def suffix_array(tokens: np.ndarray) -> np.ndarray:
@@ -217,124 +229,85 @@ def covered(tokens: np.ndarray, page: np.ndarray, least: int = LEAST_TOKENS, pag
     return spread(starts[wide[group]], tokens.size, least)
 
 
-def article_of(found: list[tuple[str, bool, bool]]) -> str | None:
-    """Text of the blocks inside an article, None for a page without one."""
-    inside = [text for text, in_article, gone in found if in_article and not gone]
-    return "\n".join(inside) if inside else None
+def undecided(found: list[tuple[str, bool, bool]]) -> bool:
+    """Whether a page has blocks that markup neither drops nor keeps."""
+    return any(not inside and not gone for _, inside, gone in found)
 
 
-NO_TEXT = int(np.uint64(xxh3_64_intdigest(b"")).astype(np.int64))
-
-
-def text_keys(found: list[tuple[str, bool, bool]]) -> tuple[int, int]:
-    """64-bit hashes of the text of a page without what markup drops, and of its article."""
-    return tuple(xxh3_64_intdigest(t.encode()) for t in ("\n".join(t for t, _, gone in found if not gone), article_of(found) or ""))
+def text_key(found: list[tuple[str, bool, bool]]) -> int:
+    """64-bit hash of the text of a page without what markup drops."""
+    return xxh3_64_intdigest("\n".join(t for t, _, gone in found if not gone).encode())
 
 
 class Streams:
-    """Tokens of the pages of one shard; blocks inside and outside articles are streams of their own with no token in common.
+    """Tokens of the undecided blocks of the pages of one shard, a stream for each page.
 
-    ``elsewhere`` has the (page, inside articles) of streams whose texts are counted elsewhere.
+    Pages in ``elsewhere`` are copies of a page that is counted elsewhere.
     """
 
-    def __init__(self, pages: list[list[tuple[str, bool, bool]]], elsewhere: set[tuple[int, int]] = frozenset()) -> None:
+    def __init__(self, pages: list[list[tuple[str, bool, bool]]], elsewhere: set[int] = frozenset()) -> None:
         self.pages = pages
         self.words: dict[str, int] = {}
-        keys: dict[tuple[int, int], int] = {}
+        keys: dict[int, int] = {}
         tokens, stream, owner, block = [], [], [], []
         blocks_before = np.cumsum([0, *map(len, pages)]).tolist()
         for p, found in enumerate(pages):
-            own = [-1 if (p, kind) in elsewhere else keys.setdefault((kind, key), len(keys)) for kind, key in enumerate(text_keys(found))]
-            for kind in (0, 1):
-                for b, (text, inside, _) in enumerate(found, blocks_before[p]):
-                    if inside == kind:
-                        ids = [2 * self.words.setdefault(w, len(self.words)) + kind for w in text.split()]
-                        tokens += ids
-                        stream += [2 * p + kind] * len(ids)
-                        owner += [own[kind]] * len(ids)
-                        block += [b] * len(ids)
+            own = -1 if p in elsewhere else keys.setdefault(text_key(found), len(keys))
+            for b, (text, inside, gone) in enumerate(found, blocks_before[p]):
+                if not inside and not gone:
+                    ids = [self.words.setdefault(w, len(self.words)) for w in text.split()]
+                    tokens += ids
+                    stream += [p] * len(ids)
+                    owner += [own] * len(ids)
+                    block += [b] * len(ids)
         self.tokens, self.stream, self.owner, self.block = (np.array(x, np.int64) for x in (tokens, stream, owner, block))
         self.n_blocks = blocks_before[-1]
 
-    def hashes(self, starts: np.ndarray, bits: int) -> np.ndarray:
-        """Hash of the passage at each start, as long as ``bits``."""
+    def hashes(self, starts: np.ndarray) -> np.ndarray:
+        """64-bit hash of the passage at each start."""
         word = np.fromiter(map(xxh3_64_intdigest, self.words), np.uint64, len(self.words))
-        of_token = word[self.tokens >> 1] + (self.tokens & 1).astype(np.uint64)
+        of_token = word[self.tokens]
         total = np.zeros(starts.size, np.uint64)
         for k in range(LEAST_TOKENS):
             total = (total ^ of_token[starts + k]) * np.uint64(0x9E3779B97F4A7C15)
             total = (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             total ^= total >> np.uint64(29)
-        return (total >> np.uint64(64 - bits)).astype(np.int64)
+        return total.view(np.int64)
 
-    def counts(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the passages, ascending, and the number of distinct owners of each, up to the number that makes it boilerplate."""
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the passages and the number of distinct owners of each, up to the number that makes it boilerplate."""
         starts, group = passages(self.tokens, self.stream)
         first = np.diff(group, prepend=-1) != 0
-        hashes, place = np.unique(self.hashes(starts[first], bits), return_inverse=True)
-        n = np.bincount(place, weights=owners(starts, group, self.owner), minlength=hashes.size)
-        return hashes, np.minimum(n, LEAST_PAGES).astype(np.uint8)
+        return self.hashes(starts[first]), np.minimum(owners(starts, group, self.owner), LEAST_PAGES)
 
-    def covered_by(self, repeated: np.ndarray, bits: int) -> np.ndarray:
+    def covered_by(self, repeated: np.ndarray) -> np.ndarray:
         """Which tokens lie in a passage with one of the hashes."""
         n = self.tokens.size
         starts = np.arange(max(n - LEAST_TOKENS + 1, 0))
         starts = starts[self.stream[starts] == self.stream[starts + LEAST_TOKENS - 1]] if starts.size else starts
-        return spread(starts[np.isin(self.hashes(starts, bits), repeated)], n)
+        return spread(starts[np.isin(self.hashes(starts), repeated)], n)
 
     def texts(self, over: np.ndarray) -> list[str]:
-        """Text of each page from its blocks that markup does not drop and covered tokens do not fill."""
+        """Text of each page from the blocks that neither markup nor repetition drops."""
         size = np.bincount(self.block, minlength=self.n_blocks)
-        full = np.bincount(self.block[over], minlength=self.n_blocks) >= COVERED * np.maximum(size, 1)
+        full = ((np.bincount(self.block[over], minlength=self.n_blocks) >= COVERED * size) & (size > 0)).tolist()
         out, at = [], 0
         for found in self.pages:
-            repeated = full[at:at + len(found)].tolist()
-            sizes = size[at:at + len(found)].tolist()
+            out.append(page_text(found, full[at:at + len(found)]))
             at += len(found)
-            inside = sum(n for n, (_, i, _) in zip(sizes, found, strict=True) if i)
-            copied = 2 * sum(n for n, r, (_, i, _) in zip(sizes, repeated, found, strict=True) if r and i) > inside
-            out.append("\n".join(t for (t, i, gone), r in zip(found, repeated, strict=True) if not gone and (not r or i and copied)))
         return out
 
 
+def page_text(found: list[tuple[str, bool, bool]], repeated: list[bool] | None = None) -> str:
+    return "\n".join(t for (t, _, gone), r in zip(found, repeated or [False] * len(found), strict=True) if not gone and not r)
+
+
 def settle_pages(pages: list[list[tuple[str, bool, bool]]]) -> list[str]:
     """Text of each page of one shard."""
     streams = Streams(pages)
     return streams.texts(covered(streams.tokens, streams.stream, owner=streams.owner))
 
 
-def hash_bits(shards: int) -> int:
-    return HASH_BITS + (shards - 1).bit_length()
-
-
-def _ascending(values: np.ndarray) -> bytes:
-    """Ascending numbers packed as their differences, byte planes apart."""
-    return zlib.compress(np.diff(values, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
-
-
-def _numbers(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<i8").ravel())
-
-
-def add_up(group: pa.Table) -> pa.Table:
-    """(host, at, hashes): of each shard's hashes in one part those that are repeated on the host."""
-    hashes = [_numbers(b) for b in group.column("hashes").to_pylist()]
-    n = np.concatenate([np.frombuffer(zlib.decompress(b), np.uint8) for b in group.column("n").to_pylist()])
-    place = np.unique(np.concatenate(hashes), return_inverse=True)[1]
-    repeated = np.split((np.bincount(place, weights=n) >= LEAST_PAGES)[place], np.cumsum([h.size for h in hashes])[:-1])
-    some = pa.array([bool(r.any()) for r in repeated])
-    out = pa.table({"host": group.column("host"), "at": group.column("at"),
-                    "hashes": pa.array([_ascending(h[r]) for h, r in zip(hashes, repeated, strict=True)], pa.binary())})
-    return out.filter(some)
-
-
-def settle(articles: list[str | None], around: list[list[tuple[str, bool]]]) -> list[str]:
-    """Text of each page of one shard, given as the text of its article and the blocks (text, dropped by markup) around it."""
-    return settle_pages([[(t, True, False) for t in (article or "").split("\n") if t] + [(t, False, gone) for t, gone in found]
-                         for article, found in zip(articles, around, strict=True)])
-
-
 def _packed(found: list[tuple[str, bool, bool]]) -> bytes:
     # No block has a line feed.
     return zlib.compress("\n".join(f"{inside + 2 * gone}{text}" for text, inside, gone in found).encode(), 1)
@@ -350,71 +323,55 @@ def main_text(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
 
     Blocks are joined by one line feed, white space inside a block is one space, character references are decoded. A null or
     empty html gives an empty text; repeated pages each get a row; a null url is a host of its own. Extra columns do not matter; an
-    empty table gives no rows.
+    empty table gives no rows. Pages are parsed once: texts that markup settles and the blocks of the others are written to the shared folder.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    # Written first: the planner then knows its size and sends it to the pages, not the pages to it, as long as it is small.
-    size = pages.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.octet_length("html")).alias("bytes")).filter(F.col("n") > shard_pages)
-    large = kept(size.select(F.col("host").alias("h"), F.ceil(F.col("n") / shard_pages).alias("shards"),
-                             F.ceil((F.col("bytes") + 1) / PART_BYTES).alias("parts")))
     kind = pages.schema["page_id"].dataType.simpleString()
     row = F.xxhash64("page_id", "url", F.length("html"))
-    columns = ["page_id", "url", "host", "row", "at", "shards", "parts"]
-
-    def placed(how: str) -> DataFrame:
-        at = F.pmod("row", F.coalesce("shards", F.lit(1)))
-        return pages.join(large, F.col("host") == F.col("h"), how).withColumn("row", row).withColumn("at", at).select(*columns, "html")
-
-    def parsed(how: str) -> DataFrame:
-        def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-            packed = [_packed(blocks(t)) for t in texts_of(batch, "html")]
-            return pa.RecordBatch.from_arrays([*map(batch.column, columns), pa.array(packed, pa.binary())], [*columns, "blocks"])
-
-        schema = f"page_id {kind}, url string, host string, row long, at long, shards long, parts long, blocks binary"
-        return map_slices(placed(how), "html", schema, lambda: parse)
-
-    def keys(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [text_keys(blocks(t)) for t in texts_of(batch, "html")]
-        key = np.array(found, np.uint64).T.copy().view(np.int64)
-        return pa.RecordBatch.from_arrays([*map(batch.column, ("host", "row", "at")), *map(pa.array, key)], ["host", "row", "at", "k0", "k1"])
-
-    # A text that several pages of a large host have is counted with the first of them only.
-    key = kept(map_slices(placed("inner"), "html", "host string, row long, at long, k0 long, k1 long", lambda: keys).select(
-        "host", "row", "at", F.posexplode(F.array("k0", "k1")).alias("kind", "key")).filter(F.col("key") != NO_TEXT))
-    first = key.groupBy("host", "kind", "key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").drop("last")
-    elsewhere = key.join(first, ["host", "kind", "key"]).filter("row <> first").select("host", "at", "row", "kind").distinct()
-
-    def count(group: pa.Table, other: pa.Table) -> pa.Table:
-        gone = set(zip(other.column("row").to_pylist(), other.column("kind").to_pylist(), strict=True))
-        rows = group.column("row").to_pylist()
-        out = {"host": [], "part": [], "at": [], "hashes": [], "n": []}
-        if rows:
-            host_, at, shards, parts = (group.column(c)[0].as_py() for c in ("host", "at", "shards", "parts"))
-            skipped = {(p, k) for p, r in enumerate(rows) for k in (0, 1) if (r, k) in gone}
-            hashes, n = Streams([_unpacked(b) for b in group.column("blocks").to_pylist()], skipped).counts(hash_bits(shards))
-            part = hashes % parts
-            for k in np.unique(part).tolist():
-                mine = part == k
-                for name, value in zip(out, (host_, k, at, _ascending(hashes[mine]), zlib.compress(n[mine].tobytes(), 1)), strict=True):
-                    out[name].append(value)
-        return pa.table(out, pa.schema([("host", pa.string()), ("part", pa.int64()), ("at", pa.int64()), ("hashes", pa.binary()), ("n", pa.binary())]))
-
-    counted = parsed("inner").groupBy("host", "at").cogroup(elsewhere.groupBy("host", "at")).applyInArrow(
-        count, "host string, part long, at long, hashes binary, n binary")
-    repeated = counted.groupBy("host", "part").applyInArrow(add_up, "host string, at long, hashes binary")
+    pages = pages.select("page_id", "url", host.alias("host"), row.alias("row"), F.coalesce("html", F.lit("")).alias("html"))
+
+    def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [blocks(t) for t in texts_of(batch, "html")]
+        open_ = [undecided(f) for f in found]
+        texts = [None if o else page_text(f) for f, o in zip(found, open_, strict=True)]
+        packed = [_packed(f) if o else None for f, o in zip(found, open_, strict=True)]
+        keys = np.array([text_key(f) if o else 0 for f, o in zip(found, open_, strict=True)], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [*map(batch.column, names), pa.array(texts, pa.string()), pa.array(packed, pa.binary()), pa.array(keys)], [*names, "text", "blocks", "key"])
+
+    names = ["page_id", "url", "host", "row"]
+    schema = f"page_id {kind}, url string, host string, row long, text string, blocks binary, key long"
+    parsed = kept(map_slices(pages, "html", schema, lambda: parse))
+    settled = parsed.filter("blocks IS NULL").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    left = parsed.filter("blocks IS NOT NULL").drop("text")
+    large = left.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > shard_pages).select(
+        "host", F.ceil(F.col("n") / shard_pages).alias("shards"))
+    placed = left.join(large, "host", "left").withColumn("at", F.pmod("row", F.coalesce("shards", F.lit(1))))
+    on_large = placed.filter("shards IS NOT NULL")
+    # A page that comes several times on a large host is counted with the first of its copies only.
+    first = on_large.groupBy("host", "key").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").drop("last")
+    counting = on_large.join(first, ["host", "key"], "left").withColumn("copy", F.coalesce(F.col("row") != F.col("first"), F.lit(False)))
+
+    def count(group: pa.Table) -> pa.Table:
+        copies = {p for p, c in enumerate(group.column("copy").to_pylist()) if c}
+        hashes, n = Streams([_unpacked(b) for b in group.column("blocks").to_pylist()], copies).counts()
+        host_, at = group.column("host")[0].as_py(), group.column("at")[0].as_py()
+        return pa.table({"host": pa.array([host_] * n.size, pa.string()), "at": pa.array([at] * n.size, pa.int64()), "hash": hashes, "n": n.astype(np.int64)})
+
+    counted = kept(counting.select("host", "at", "blocks", "copy").groupBy("host", "at").applyInArrow(count, "host string, at long, hash long, n long"))
+    repeated = counted.groupBy("host", "hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_PAGES).select("host", "hash")
+    sent = counted.select("host", "at", "hash").join(repeated, ["host", "hash"], "left_semi")
 
     def shard(group: pa.Table, other: pa.Table) -> pa.Table:
         pages = [_unpacked(b) for b in group.column("blocks").to_pylist()]
-        shards = group.column("shards")[0].as_py() if pages else None
-        if shards is None:
+        if not pages or group.column("shards")[0].as_py() is None:
             texts = settle_pages(pages)
         else:
             streams = Streams(pages)
-            hashes = np.concatenate([np.empty(0, np.int64), *map(_numbers, other.column("hashes").to_pylist())])
-            texts = streams.texts(streams.covered_by(hashes, hash_bits(shards)))
+            texts = streams.texts(streams.covered_by(other.column("hash").to_numpy()))
         return pa.table({"page_id": group.column("page_id"), "url": group.column("url"), "text": pa.array(texts, pa.string()),
                          "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
-    return parsed("left").groupBy("host", "at").cogroup(repeated.groupBy("host", "at")).applyInArrow(
+    decided = placed.drop("key", "row").groupBy("host", "at").cogroup(sent.groupBy("host", "at")).applyInArrow(
         shard, f"page_id {kind}, url string, text string, n_chars long")
+    return settled.unionByName(decided)

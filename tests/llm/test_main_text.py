@@ -3,12 +3,11 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from hopledger.llm.main_text import article_of, blocks, covered, main_text, settle, suffix_array
+from hopledger.llm.main_text import blocks, covered, main_text, settle_pages, suffix_array
 
 
 def kept(html):
-    found = blocks(html)
-    return settle([article_of(found)], [[(text, gone) for text, inside, gone in found if not inside]])[0]
+    return settle_pages([blocks(html)])[0]
 
 
 def test_suffix_array_against_sorting():
@@ -82,7 +81,7 @@ def test_copies_of_an_article_stay(spark):
     assert {r.text for r in main_text(df).collect()} == {"the very same article on many pages of one host"}
 
 
-def test_repetition_decides_around_and_inside_articles(spark):
+def test_repetition_decides_around_articles_and_leaves_them_whole(spark):
     menu, notice = "home news sport weather about us contact", "please support our work with a small gift today"
     body = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
     html = lambda k: (f"<div>{menu}</div><div>{body(k)}</div>"
@@ -93,11 +92,30 @@ def test_repetition_decides_around_and_inside_articles(spark):
     rows += [(200 + k, "https://h.example/d", f"<article><p>{body(6000)}</p><p>version {k}</p></article>") for k in range(9)]
     found = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     for k in range(9):
-        assert found[k] == f"{body(k)}\n{body(k + 1000)}\nalone {k}"
+        assert found[k] == f"{body(k)}\n{body(k + 1000)}\n{notice}\nalone {k}"
         assert found[100 + k] == body(5000)
         assert found[200 + k] == f"{body(6000)}\nversion {k}"
 
 
+def test_an_article_is_kept_in_any_wrapper_that_is_not_named():
+    for wrapper in ('div class="layout has-sidebar"', 'div class="ad-free content"', 'div id=related-work-page', "dialog open", "form action=x", "body class=menu"):
+        assert kept(f"<{wrapper}><div><article><h1>head</h1><p>hello world</p></article></div></{wrapper.split()[0]}>") == "head\nhello world"
+    inside = '<article><div class="social-science"><p>about it</p></div><p class="share-price">rose</p><div class="share">Share</div></article>'
+    assert kept(inside) == "about it\nrose"
+    for wrapper in ("aside", 'div class="comments list"', 'section id="sidebar"', "nav", "dialog", "div hidden", 'div role="complementary"'):
+        assert kept(f"<article>main</article><{wrapper}><article>card</article></{wrapper.split()[0]}>") == "main"
+    # A hint drops what stands around an article, and nothing of a page without one.
+    assert kept('<div class="site-footer">foot</div><article>main</article>') == "main"
+    assert kept('<div class="site-footer">foot</div><p>main</p>') == "foot\nmain"
+
+
+def test_article_text_stays_however_often_it_is_repeated(spark):
+    head = "the same seven words head every article"
+    rows = [(k, f"https://h.example/{k}", f"<article><h1>{head}</h1><p>Les.</p><p>text {k}</p></article>") for k in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in main_text(df).collect()} == {k: f"{head}\nLes.\ntext {k}" for k in range(200)}
+
+
 def test_shards_give_the_same_texts_as_one(spark):
     draw = random.Random(5)
     lines = [" ".join(f"v{draw.randrange(50)}" for _ in range(draw.randrange(3, 12))) for _ in range(60)]
