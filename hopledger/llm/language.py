@@ -22,6 +22,8 @@ from hopledger.llm.common import held_out, map_slices, texts_of
 DIMENSIONS = 4096
 # Rows of the sample that the machines are fitted on: at most this many in all, shared equally by the languages.
 SAMPLE_ROWS = 3000
+# A text takes 8 bytes a slot while its n-grams are counted.
+TEXTS_AT_ONCE = 256
 UNDETERMINED = "und"
 # Branches of common language codes; any other code is a family by itself.
 FAMILIES = {
@@ -163,12 +165,19 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Languages:
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch)
             rows = has_letters(texts)
-            values = features(texts)[rows]
-            row, slot = np.nonzero(values)
-            offsets = pa.array(np.searchsorted(row, np.arange(len(values) + 1)), pa.int32())
+            langs = batch.column("lang").filter(pa.array(rows))
+            texts = [t for t, ok in zip(texts, rows.tolist(), strict=True) if ok]
+            counts, slots, values = [0], [np.empty(0, int)], [np.empty(0, np.float32)]
+            for k in range(0, len(texts), TEXTS_AT_ONCE):
+                part = features(texts[k:k + TEXTS_AT_ONCE])
+                row, slot = np.nonzero(part)
+                counts += np.bincount(row, minlength=len(part)).tolist()
+                slots.append(slot)
+                values.append(part[row, slot])
+            offsets = pa.array(np.cumsum(counts), pa.int32())
             return pa.RecordBatch.from_arrays([
-                batch.column("lang").filter(pa.array(rows)), pa.ListArray.from_arrays(offsets, pa.array(slot, pa.int32())),
-                pa.ListArray.from_arrays(offsets, pa.array(values[row, slot]))], ["lang", "slots", "values"])
+                langs, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(slots), pa.int32())),
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values)))], ["lang", "slots", "values"])
 
         return work
 
@@ -203,8 +212,8 @@ def identify(docs: DataFrame, languages: Languages, keep: tuple[str, ...] = ("do
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch)
             langs, scores = [], []
-            for k in range(0, len(texts), 256):
-                found, sure = model.predict(texts[k:k + 256])
+            for k in range(0, len(texts), TEXTS_AT_ONCE):
+                found, sure = model.predict(texts[k:k + TEXTS_AT_ONCE])
                 langs += found
                 scores.append(sure)
             return pa.RecordBatch.from_arrays(
