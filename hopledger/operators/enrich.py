@@ -68,6 +68,13 @@ def impact_lines(impact: DataFrame, keys: list[str]) -> DataFrame:
     return impact.select(*keys, "app", "customer", impact_line().alias("line"))
 
 
+def _notes(apps: Column, customers: Column, lines: Column) -> list[Column]:
+    return [
+        F.concat(F.lit("apps affected ("), apps.cast("string"), F.lit("):\n"), lines).alias("impact"),
+        F.concat(plural(apps, "app"), F.lit(", "), plural(customers, "customer")).alias("blast_radius"),
+    ]
+
+
 def render_annotations(impact: DataFrame, keys: list[str]) -> DataFrame:
     """The two annotation texts per key.
 
@@ -82,13 +89,25 @@ def render_annotations(impact: DataFrame, keys: list[str]) -> DataFrame:
     texts = impact_lines(impact, keys).groupBy(*keys).agg(
         F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("_lines")
     )
-    return counts.join(texts, keys).select(
-        *keys,
-        F.concat(F.lit("apps affected ("), F.col("_apps").cast("string"), F.lit("):\n"), "_lines").alias("impact"),
-        F.concat(plural(F.col("_apps"), "app"), F.lit(", "), plural(F.col("_customers"), "customer")).alias(
-            "blast_radius"
-        ),
-    )
+    return counts.join(texts, keys).select(*keys, *_notes(F.col("_apps"), F.col("_customers"), F.col("_lines")))
+
+
+def render_alerts_at_once(impact: DataFrame, keys: list[str]) -> DataFrame:
+    """E2 and E3 together, from one grouping: the rows that the text prints are gathered anyway, and labels and counts follow from them."""
+    ranked = impact.select(*keys, "app", "customer", impact_line().alias("line"), (-criticality_rank(F.col("criticality"))).alias("r"), "criticality")
+    gathered = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("app", "customer", "line", "r", "criticality"))).alias("_rows"))
+    rows = F.col("_rows")
+    customers = F.array_distinct(F.filter(F.transform(rows, lambda x: x["customer"]), lambda c: c != ""))
+    place = lambda x: F.struct(x["r"].alias("r"), x["app"].alias("app"), x["customer"].alias("customer"), x["criticality"].alias("criticality"))
+    told = gathered.withColumns({
+        "_apps": F.size(F.array_distinct(F.transform(rows, lambda x: x["app"]))), "_customers": F.size(customers),
+        "_top": F.array_min(F.transform(F.filter(rows, lambda x: x["r"] < 0), place)),
+        "_lines": F.array_join(F.transform(rows, lambda x: x["line"]), "\n"),
+    })
+    return told.select(
+        *keys, *_notes(F.col("_apps"), F.col("_customers"), F.col("_lines")),
+        F.coalesce(F.col("_top.criticality"), F.lit("unknown")).alias("max_criticality"),
+        F.col("_apps").cast("long").alias("app_count"), (F.col("_customers") > 0).alias("customer_impact"))
 
 
 def lookup_alerts(topology: Topology, alerts: DataFrame, now: Column, config: EnrichConfig) -> DataFrame:
@@ -123,9 +142,7 @@ def enrich_alerts(
     looked = lookup_alerts(topology, alerts, now, config)
     keys = ["iface_phash", "at_s"]
     impact = impact_asof(topology, looked.filter("iface_phash is not null"), exposed)
-    rendered = render_annotations(impact, keys)
-    if config.enrich_labels:
-        rendered = rendered.join(render_labels(impact, keys), keys)
+    rendered = render_alerts_at_once(impact, keys) if config.enrich_labels else render_annotations(impact, keys)
     out = looked.join(rendered, keys, "left")
     hit = F.col("blast_radius").isNotNull()
     key = lambda name: F.lit(config.prefix + name)

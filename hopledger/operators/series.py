@@ -141,18 +141,34 @@ def range_vector(samples: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
 def range_facts(samples: DataFrame, keys: list[str], near: list[str], grid: Grid, span: Column) -> DataFrame:
     """Per series and tick: first and last sample, count and the drops of resets.
 
-    Every aggregate has a fixed-size buffer, so this is one hash aggregation in the task of the block.
+    A range slides over the samples, so its facts change only where a sample enters or leaves. Samples are numbered and their drops
+    added up once per block; what lies in a range then follows from its first and its last sample, as differences of the two. There are two
+    changes per sample and one row per tick, however many ticks a sample belongs to, all in the task of the block.
     """
     rows = into_blocks(samples, keys, near, grid, span)
+    step = grid.step * MICROS
     by_time = Window.partitionBy(*keys, "blk").orderBy("us")
-    rows = rows.withColumns({"_prev": F.lag("value").over(by_time), "_prev_us": F.lag("us").over(by_time)})
-    ticks = rows.withColumn("t", F.explode(F.sequence("first", "last", F.lit(grid.step * MICROS))))
-    reset = (F.col("value") < F.col("_prev")) & (F.col("_prev_us") > F.col("t") - span.cast("bigint") * MICROS)
-    return grid.clip(ticks.groupBy(*keys, "blk", "t").agg(
-        F.min("us").alias("first_us"), F.max("us").alias("last_us"),
-        F.min_by("value", "us").alias("first_value"), F.max_by("value", "us").alias("last_value"),
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.when(reset, F.col("_prev")).otherwise(0.0)).alias("reset"),
+    rows = rows.withColumns({"_prev": F.lag("value").over(by_time), "_i": F.row_number().over(by_time)})
+    drops = F.sum(F.when(F.col("value") < F.col("_prev"), F.col("_prev")).otherwise(0.0)).over(by_time)
+    rows = rows.withColumn("_at", F.struct("us", "value", "_i", drops.alias("drops")))
+    rows = rows.withColumn("_after", F.lead("_at").over(by_time))
+    none = F.lit(None).cast(rows.schema["_at"].dataType)
+    changes = rows.select(*keys, "blk", F.inline(F.array(
+        F.struct(F.col("first").alias("t"), F.col("_at").alias("_in"), F.when(F.col("_i") == 1, F.col("_at")).otherwise(none).alias("_low"), F.lit(False).alias("_end")),
+        F.struct((F.col("last") + step).alias("t"), none.alias("_in"), F.col("_after").alias("_low"), F.col("_after").isNull().alias("_end")),
+    )))
+    # Structs compare by time first: the last that enters, and the next after the last that leaves.
+    at_tick = changes.groupBy(*keys, "blk", "t").agg(F.max("_in").alias("_in"), F.max("_low").alias("_low"), F.bool_or("_end").alias("_end"))
+    by_tick = Window.partitionBy(*keys, "blk").orderBy("t")
+    held = at_tick.withColumns({
+        "_high": F.last("_in", ignorenulls=True).over(by_tick), "_low": F.last("_low", ignorenulls=True).over(by_tick),
+        "_until": F.lead("t").over(by_tick) - step})
+    held = held.filter(~F.col("_end") & F.col("_until").isNotNull() & (F.col("_high._i") >= F.col("_low._i")))
+    ticks = held.withColumn("t", F.explode(F.sequence("t", "_until", F.lit(step))))
+    return grid.clip(ticks.select(
+        *keys, "blk", "t", F.col("_low.us").alias("first_us"), F.col("_high.us").alias("last_us"),
+        F.col("_low.value").alias("first_value"), F.col("_high.value").alias("last_value"),
+        (F.col("_high._i") - F.col("_low._i") + 1).cast("long").alias("n"), (F.col("_high.drops") - F.col("_low.drops")).alias("reset"),
     ))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from hopledger.functions.identity import entity_hash
 from hopledger.operators import history as h
 from hopledger.operators.declare import batch_status
+from hopledger.operators.dims import Dimensions, impact_dims_asof
 from hopledger.operators import topology as tp
 from hopledger.operators.mapping import curated_apps, in_mapping_order, live_mapping, mapping_series, without_direction
 from hopledger.plans import domain as d
@@ -257,6 +258,63 @@ def _(spark, sf_dir):
     return tp.impact_asof(topology, d.looked(spark, sf_dir).filter("iface_phash is not null"), d.exposed(spark, sf_dir))
 
 
+OWNED, MOVED, LEFT, VIP_FROM = 820454400, 852076800, 883612800, 788918400
+
+fragment("app_then", f"""
+SELECT custkey, name, 'former-' || owner AS owner, criticality, 0 AS valid_from, {OWNED} + (custkey % 700) * {d.DAY} AS valid_to FROM app_svc WHERE custkey % 3 = 0
+UNION ALL SELECT custkey, name, owner, criticality, CASE WHEN custkey % 3 = 0 THEN {OWNED} + (custkey % 700) * {d.DAY} ELSE 0 END, NULL FROM app_svc
+""", "app_svc")
+fragment("runs_then", f"""
+SELECT custkey, svc_phash, service, CASE WHEN custkey % 11 = 5 THEN {MOVED} + (custkey % 300) * {d.DAY} ELSE 0 END AS valid_from, NULL::BIGINT AS valid_to FROM app_svc
+""", "app_svc")
+fragment("consumes_then", f"""
+SELECT svc_phash, n_name AS customer, 0 AS valid_from, CASE WHEN custkey % 5 = 2 THEN {LEFT} + (custkey % 200) * {d.DAY} END AS valid_to
+FROM app_svc JOIN nation ON n_nationkey = nationkey WHERE custkey % 4 <> 0
+UNION ALL SELECT svc_phash, 'vip-' || nationkey, {VIP_FROM}, NULL FROM app_svc WHERE custkey % 4 <> 0 AND custkey % 6 = 1
+""", "app_svc")
+
+
+def _dimensions(spark, sf_dir):
+    """Apps that change owner, apps that move to another service, customers that leave and others that come."""
+    key, later = F.col("c_custkey"), lambda base, spread: F.lit(base) + key % spread * d.DAY
+    open_end = F.lit(None).cast("long")
+    rows = d.table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_nationkey", F.col("c_name").alias("app"), F.col("c_mktsegment").alias("owner"), d.service_name(key).alias("service"),
+        F.concat(F.lit("key-"), key.cast("string")).alias("app_phash"))
+    rows = rows.join(d.apps(spark, sf_dir).select(F.col("name").alias("app"), "criticality"), "app")
+    changes, moves = key % 3 == 0, key % 11 == 5
+    app = ["app_phash", "app", "owner", "criticality"]
+    then = rows.filter(changes).select("app_phash", "app", F.concat(F.lit("former-"), "owner").alias("owner"), "criticality",
+                                       F.lit(0).cast("long").alias("valid_from"), later(OWNED, 700).alias("valid_to"))
+    now = rows.select(*app, F.when(changes, later(OWNED, 700)).otherwise(0).alias("valid_from"), open_end.alias("valid_to"))
+    svc = d.service_hash(F.col("service")).alias("svc_phash")
+    home = rows.select("app_phash", svc, "service", F.when(moves, later(MOVED, 300)).otherwise(0).alias("valid_from"), open_end.alias("valid_to"))
+    old = F.concat(F.lit("svc-old-"), key.cast("string"))
+    before = rows.filter(moves).select("app_phash", d.service_hash(old).alias("svc_phash"), old.alias("service"),
+                                       F.lit(0).cast("long").alias("valid_from"), later(MOVED, 300).alias("valid_to"))
+    served = rows.filter(key % 4 != 0)
+    nation = d.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer"))
+    plain = served.join(nation, "c_nationkey").select(
+        svc, "customer", F.lit(0).cast("long").alias("valid_from"), F.when(key % 5 == 2, later(LEFT, 200)).alias("valid_to"))
+    vip = served.filter(key % 6 == 1).select(
+        svc, F.concat(F.lit("vip-"), F.col("c_nationkey").cast("string")).alias("customer"), F.lit(VIP_FROM).cast("long").alias("valid_from"), open_end.alias("valid_to"))
+    return Dimensions(then.unionByName(now), home.unionByName(before), plain.unionByName(vip))
+
+
+@query("impact_dims_asof", "Q2 Q7", f"""
+SELECT DISTINCT l.iface_phash, l.at_s, a.name AS app, r.service, a.owner, coalesce(c.customer, '') AS customer, coalesce(a.criticality, '') AS criticality
+FROM (SELECT DISTINCT iface_phash, at_s FROM looked WHERE iface_phash IS NOT NULL) l
+JOIN exposed t ON t.iface_phash = l.iface_phash AND {valid('l.at_s')}
+JOIN runs_then r ON r.svc_phash = t.svc_phash AND {valid('l.at_s', 'r')}
+JOIN app_then a ON a.custkey = r.custkey AND {valid('l.at_s', 'a')}
+LEFT JOIN consumes_then c ON c.svc_phash = t.svc_phash AND {valid('l.at_s', 'c')}
+""", "looked exposed app_then runs_then consumes_then")
+def _(spark, sf_dir):
+    """Impact with the owner, the service and the customers of the instant looked at."""
+    people = d.stored(spark, sf_dir, "people_history", lambda: _dimensions(spark, sf_dir).people())
+    return impact_dims_asof(d.exposed(spark, sf_dir), people, d.looked(spark, sf_dir).filter("iface_phash is not null"))
+
+
 @query("list_apps", "Q8", "SELECT c_name AS name FROM customer")
 def _(spark, sf_dir):
     return tp.list_apps(d.topology(spark, sf_dir))

@@ -90,3 +90,12 @@ def test_json_round_trip(spark):
     out = render_alerts(rows.limit(1).withColumn("annotations", F.create_map(F.lit("x"), F.lit("y")))).first().value
     assert out == ('{"annotations":{"x":"y"},"generatorURL":"http://p/?q=\\"a\\"","labels":{"alertname":"IfDown"},"n":12,'
                    '"nested":{"b":[1,2.0]},"nothing":null,"startsAt":"2026-06-03T10:00:00Z"}')
+
+
+def test_both_at_once_equals_one_by_one(spark):
+    rows = [("k", "a", "s", "o", "", "tier-2"), ("k", "a", "s", "o", "acme", "tier-2"), ("k", "b", "s2", "o", "acme", "Critical"), ("k", "c", "s2", None, "", "sev1"),
+            ("m", "x", "s", "o", "", "odd"), ("n", "y", "s", "o", "zz", ""), ("n", "y", "s", "p", "zz", "low")]
+    found = spark.createDataFrame(rows, "key string, app string, service string, owner string, customer string, criticality string")
+    apart = e.render_annotations(found, ["key"]).join(e.render_labels(found, ["key"]), "key")
+    together = e.render_alerts_at_once(found, ["key"]).select(apart.columns)
+    assert sorted(map(tuple, together.collect())) == sorted(map(tuple, apart.collect()))
