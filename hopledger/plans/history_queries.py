@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from hopledger.functions.identity import entity_hash
@@ -9,12 +11,15 @@ from hopledger.operators import history as h
 from hopledger.operators.declare import batch_status
 from hopledger.operators.dims import Dimensions, impact_dims_asof
 from hopledger.operators import topology as tp
+from hopledger.operators.increments import History, advance, begin
 from hopledger.operators.mapping import curated_apps, in_mapping_order, live_mapping, mapping_series, without_direction
 from hopledger.plans import domain as d
 from hopledger.plans.domain_sql import (
     address, declared_device, declared_ref, resolution, valid,
 )
 from hopledger.plans.registry import fragment, query
+from hopledger.session import checkpoint_folder
+from hopledger.sources.sinks import read_version, write_version
 
 
 @query("revisions", "T2 T3 T7", "SELECT app_key, orderkey, at_s, valid_from, valid_to FROM revision", "revision")
@@ -22,6 +27,23 @@ def _(spark, sf_dir):
     return h.revisions(d.history_events(spark, sf_dir)).select("app_key", "orderkey", "at_s", "valid_from", "valid_to")
 
 
+@query("revisions_by_batch", "T2 T3", "SELECT app_key, orderkey, at_s, valid_from, valid_to FROM revision", "revision")
+def _(spark, sf_dir):
+    """The same history from four batches: three in time and one of late events, which are played again from their place."""
+    events = d.history_events(spark, sf_dir)
+    at, late = F.col("at_s"), F.col("orderkey") % 10 == 3
+    number = F.when(late, 3).when(at < 788918400, 0).when(at < 852076800, 1).otherwise(2)
+    folder = f"{checkpoint_folder(spark)}/history-{uuid.uuid4().hex}"
+    known = begin(events)
+    for batch in range(4):
+        known = advance(known, events.filter(number == batch))
+        parts = {name: getattr(known, name) for name in ("events", "state", "revisions")}
+        for name, part in parts.items():
+            write_version(part, f"{folder}/{name}")
+        known = History(*(read_version(spark, f"{folder}/{name}") for name in parts))
+    return known.revisions.select("app_key", "orderkey", "at_s", "valid_from", "valid_to")
+
+
 @query("effective_closes", "T3", """
 SELECT app_key, orderkey, at_s, CAST(eff AS BIGINT) AS eff FROM effective WHERE kind = 'close'
 """, "effective")
