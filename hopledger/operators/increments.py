@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from hopledger.operators.history import effective_events
 
+# Events that one task works on, on average: tables that grow get more tasks, not larger ones.
+TASK_ROWS = 250_000
 STATE = "app_key string, last_ord long, last_kind string, nth long, slack long"
 
 
@@ -61,6 +63,19 @@ def _revisions(effective: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*columns)
 
 
+def _dealt(history: History, batch: DataFrame) -> tuple[History, DataFrame]:
+    """Events and revisions dealt by app, to as many tasks as they need.
+
+    Rows that compress well are merged into few large tasks otherwise, and every window and join of a stage sorts them in memory.
+    """
+    rows = history.events.count() + batch.count()
+    if rows <= TASK_ROWS:
+        return history, batch
+    parts = max(batch.sparkSession.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
+    deal = lambda df: df.repartition(parts, "app_key")
+    return History(deal(history.events), history.state, deal(history.revisions)), deal(batch)
+
+
 def advance(history: History, batch: DataFrame) -> History:
     """The history with a batch of events (app_key, kind, at_s, ord, ...), ``ord`` unique within an app.
 
@@ -68,6 +83,7 @@ def advance(history: History, batch: DataFrame) -> History:
     their own events, as a late one moves those after it. Apps that are not in the batch are neither read in windows nor changed. The
     result equals the revisions of all events at once. An empty batch changes nothing; the new tables are to be written by the caller.
     """
+    history, batch = _dealt(history, batch)
     columns = history.revisions.columns
     first = batch.groupBy("app_key").agg(F.min("ord").alias("_first"))
     touched = first.join(history.state.select("app_key", "last_ord"), "app_key", "left").withColumn("late", F.coalesce(F.col("_first") <= F.col("last_ord"), F.lit(False)))

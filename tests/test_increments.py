@@ -1,9 +1,12 @@
 """Batches in any order against all events at once."""
 
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from hopledger.operators import increments
 from hopledger.operators.history import revisions
 from hopledger.operators.increments import advance, begin
 from hopledger.sources.sinks import read_version, write_version
@@ -40,3 +43,16 @@ def test_batches_equal_the_whole(spark, tmp_path, order):
         assert history.state.count() == len({r[0] for r in sent[:k + 60]})
     before = sorted(map(str, history.revisions.collect()))
     assert sorted(map(str, advance(history, spark.createDataFrame([], EVENTS)).revisions.collect())) == before
+
+
+def test_large_batches_are_dealt_to_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(increments, "TASK_ROWS", 10)
+    rows = spark.range(300).select(
+        F.format_string("app-%s", F.col("id") % 40).alias("app_key"), F.when(F.col("id") % 5 == 0, "close").otherwise("reload").alias("kind"),
+        (F.col("id") * 7 % 100).alias("at_s"), F.col("id").alias("ord"))
+    known = increments.advance(increments.advance(increments.begin(rows), rows.filter("ord % 3 > 0")), rows.filter("ord % 3 = 0"))
+    sizes = [int(n) for n in re.findall(r"hashpartitioning\(app_key#\d+, (\d+)\), REPARTITION_BY_NUM", known.revisions._jdf.queryExecution().executedPlan().toString())]
+    assert sizes and min(sizes) >= 20
+    columns = ["app_key", "ord", "valid_from", "valid_to"]
+    found = lambda df: sorted(map(str, df.select(*columns).collect()))
+    assert found(known.revisions) == found(revisions(rows))
