@@ -94,5 +94,5 @@ def impact_dims_asof(exposed: DataFrame, people: DataFrame, lookups: DataFrame)
 
     ``exposed`` is ``topology.exposure``, ``people`` is ``Dimensions.people``; both are kept as tables and looked up in.
     """
-    hits = join_valid(lookups.select("iface_phash", "at_s").distinct(), exposed, ["iface_phash"]).select("iface_phash", "at_s", "svc_phash").distinct()
+    hits = join_valid(lookups.select("iface_phash", "at_s").distinct(), exposed, ["iface_phash"]).select("iface_phash", "at_s", "svc_phash")
     return join_valid(hits, people, ["svc_phash"]).select("iface_phash", "at_s", *IMPACT_COLUMNS).distinct()
