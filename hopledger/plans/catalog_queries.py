@@ -234,8 +234,8 @@ FROM (SELECT g.svc_phash, x.*, {entity('appservice', 'x.target')} AS to_svc_phas
 """, "good_doc", "doc_path")
 
 
-def _revised(spark, sf_dir):
-    good = dc.loadable(d.declarations(spark, sf_dir), _errors(spark, sf_dir))
+def _revised(spark, sf_dir, hops=True):
+    good = dc.loadable(d.declarations(spark, sf_dir), _errors(spark, sf_dir), hops=hops)
     return good.withColumns({
         "source": F.lit("batch"), "valid_from": F.lit(d.THEN_S).cast("bigint"), "valid_to": F.lit(None).cast("bigint"),
     })
@@ -246,7 +246,7 @@ SELECT DISTINCT app_phash, svc_phash, to_svc_phash, conn_phash, {entity('path',
        899251200 AS valid_from, 'declared' AS provenance, CAST(1 AS DOUBLE) AS confidence FROM good_conn
 """, "good_conn")
 def _(spark, sf_dir):
-    edges = dc.dependency_edges(_revised(spark, sf_dir), d.catalog(spark, sf_dir))
+    edges = dc.dependency_edges(_revised(spark, sf_dir, hops=False), d.catalog(spark, sf_dir))
     return edges["takes"].select("app_phash", "svc_phash", "to_svc_phash", "conn_phash", "path_phash", "valid_from",
                                  "provenance", "confidence")
 

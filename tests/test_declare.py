@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hopledger.operators import declare as dc
+from hopledger.operators.sieve import marked
 from hopledger.schemas import DECL
 from hopledger.sources.declarations import declarations_from_json, parse_declaration, read_declarations, usable
 from tests.test_catalog import CORE, entries
@@ -147,3 +148,34 @@ def test_batch_time(spark):
     d = decl(spark, ("a", "x", "y", [], []))
     assert dc.stamp_batch(d, 123).first().at_s == 123
     assert dc.stamp_batch(d).first().at_s > 1_700_000_000
+
+
+def test_marks_miss_no_key_and_let_few_others_through(spark):
+    rows = spark.range(20000).selectExpr("concat('rtr-', id % 100) as device", "concat('Te', id) as ref", "id")
+    wanted = rows.filter("id % 20 = 3").select("device", "ref")
+    seen = marked(rows, wanted, ["device", "ref"], "may").groupBy((F.col("id") % 20 == 3).alias("in"), "may").count().collect()
+    count = {(r["in"], r["may"]): r["count"] for r in seen}
+    assert count[True, True] == 1000 and (True, False) not in count and count.get((False, True), 0) < 100
+    assert marked(rows, wanted.limit(0), ["device", "ref"], "may").filter("may").count() == 0
+
+
+def test_only_suspect_hops_are_shuffled_again(spark):
+    good = decl(spark, *[(f"f{i}", f"a{i}", "svc", [], [dep(path=[hop(), hop("Te9/9/9" if i == 7 else "Te0/1/2")])]) for i in range(200)])
+    catalog = entries(spark, *CORE)
+    errors = dc.validate_declarations(good, catalog)
+    assert codes(errors) == [("f7", "unresolved_hop")]
+    # hops that are in order end before the last join: its plan sifts them by bits
+    assert "bit_or" in errors._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_takes_need_no_hops(spark):
+    rows = decl(spark, ("f1", "a", "svc", [], [dep(path=[hop(), hop("x")], paths=[[hop()], []]), dep("none"), dep("other", paths=[[hop()]])]),
+                ("f2", "b", "svc", [], None), ("f3", "c", "svc", [], [dep(path=[])]))
+    errors = rows.filter("file = 'f3'").select("file")
+    edges = {}
+    for hops in (True, False):
+        good = dc.loadable(rows, errors, hops=hops).withColumns({
+            "source": F.lit("s"), "valid_from": F.lit(1).cast("bigint"), "valid_to": F.lit(None).cast("bigint")})
+        found = dc.dependency_edges(good, entries(spark, *CORE))
+        edges[hops] = [sorted(map(tuple, found[name].collect()), key=str) for name in ("takes", "depends_on")]
+    assert edges[True] == edges[False] and [len(e) for e in edges[True]] == [4, 3]
