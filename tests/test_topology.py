@@ -63,6 +63,20 @@ def test_bulk_impact_equals_single(spark, topology):
     assert got == want
 
 
+def test_history_of_interfaces_nobody_asks_about_is_sifted_out(spark, topology):
+    lookups = spark.createDataFrame([("i2", 250), ("i9", 250)], "iface_phash string, at_s bigint")
+    rows = tp.impact_asof(topology, lookups, tp.exposure(topology, whole=False))
+    assert sorted((r.iface_phash, r.app, r.customer) for r in rows.collect()) == [("i2", "payments", "acme"), ("i2", "payments", "globex")]
+    assert "bit_or" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_exposure_by_path_has_the_same_rows(topology):
+    twice = tp.Topology(**{**topology.__dict__, "hop": topology.hop.unionByName(topology.hop)})
+    whole, dealt = (tp.exposure(twice, whole=w).collect() for w in (True, False))
+    # pathA and pathB meet i1 at the same time: a row each, and no more
+    assert set(whole) == set(dealt) and len(whole) == 5 and len(dealt) == 6
+
+
 def test_by_index_none_one_many(spark, topology):
     queries = spark.createDataFrame([(1, "10.0.0.1", 42, 160), (2, "10.0.0.3", 7, 160), (3, "10.9.9.9", 1, 160)],
                                     "qid int, instance string, if_index bigint, at_s bigint")
