@@ -44,3 +44,12 @@ def test_a_shared_folder_is_demanded_beyond_one_machine():
         assert "spark.checkpoint.dir" in str(error)
     else:
         raise AssertionError("a local folder was used on a cluster")
+
+
+def test_repeats_go_where_the_bucket_is(spark):
+    lookups = spark.createDataFrame([("a", 5), ("a", 7)], "k string, at_s long")
+    history = spark.createDataFrame([("a", "x", 0, 9), ("a", "x", 1, None), ("a", "y", 6, None)], "k string, v string, valid_from long, valid_to long")
+    found = join_valid(lookups, history, ["k"], ["at_s", "v"])
+    assert sorted(map(tuple, found.collect())) == [(5, "x"), (7, "x"), (7, "y")]
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(join_valid(lookups, history, ["k"], ["at_s", "v"])) == exchanges(join_valid(lookups, history, ["k"]))

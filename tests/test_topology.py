@@ -151,3 +151,19 @@ def test_tenant_append(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
     assert spark.read.parquet(path).count() == 2
     assert {(r.value, r.tenant) for r in spark.read.parquet(path).collect()} == {(1.0, "t1"), (2.0, "t1")}
+
+
+def test_impact_of_services_with_one_name_is_given_once(spark):
+    frame = spark.createDataFrame
+    graph = tp.Topology(
+        app=frame([("p1", "A", "o", "")], "app_phash string, name string, owner string, criticality string"),
+        runs_as=frame([("p1", "s1"), ("p1", "s2")], "app_phash string, svc_phash string"),
+        service=frame([("s1", "S"), ("s2", "S")], "svc_phash string, name string"),
+        consumes=frame([], "svc_phash string, customer string"))
+    exposed = frame([("i", "s1", 0, None), ("i", "s2", 0, None), ("i", "s1", 1, 9)], "iface_phash string, svc_phash string, valid_from long, valid_to long")
+    asked = frame([("i", 5)], "iface_phash string, at_s long")
+    assert [tuple(r) for r in tp.impact_asof(graph, asked, exposed).collect()] == [("i", 5, "A", "S", "o", "", "")]
+    # where names tell services apart, the wide rows are not shuffled to find repeats
+    graph.service = frame([("s1", "S"), ("s2", "T")], "svc_phash string, name string")
+    rows = tp.impact_asof(graph, asked, exposed)
+    assert rows.count() == 2 and not rows._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
